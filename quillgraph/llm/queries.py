@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import mixing, sharding
+from quillgraph.llm import line_dedup, mixing, sharding
 from quillgraph.llm.common import table
 
 
@@ -22,6 +22,23 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that ten documents or more share."""
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), min_docs=10, columns=["doc_id"])
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP9_SQL = """
+WITH lines AS (
+  SELECT doc_id, row, line, pos, translate(regexp_replace(line, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT doc_id, row, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos
+        FROM (SELECT doc_id, row_number() OVER () AS row, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents))),
+often AS (SELECT key FROM lines WHERE key <> '' GROUP BY key HAVING count(DISTINCT row) >= 10)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(o.key) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE o.key IS NULL), '')) AS kept_sha256
+FROM lines l LEFT JOIN often o ON l.key = o.key GROUP BY row
+"""
+
 OP10_SQL = """
 WITH docs AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
@@ -54,8 +71,8 @@ FROM docs d JOIN plans p ON d.source IS NOT DISTINCT FROM p.source LEFT JOIN bou
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_sharding": op3_sharding, "op10_mixing": op10_mixing}
+    return {"op3_sharding": op3_sharding, "op9_line_dedup": op9_line_dedup, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_mixing": OP10_SQL}
+    return {"op9_line_dedup": OP9_SQL, "op10_mixing": OP10_SQL}
