@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import line_dedup, mixing, sharding
+from quillgraph.llm import line_dedup, mixing, sharding, simhash
 from quillgraph.llm.common import table
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents whose 3-word SimHashes differ in two bits at most."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, threshold=2)
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in eight shards of near equal bytes."""
     found = sharding.shard(table(spark, sf_dir, "documents"), shards=8)
@@ -71,7 +76,7 @@ FROM docs d JOIN plans p ON d.source IS NOT DISTINCT FROM p.source LEFT JOIN bou
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_sharding": op3_sharding, "op9_line_dedup": op9_line_dedup, "op10_mixing": op10_mixing}
+    return {"op2_simhash": op2_simhash, "op3_sharding": op3_sharding, "op9_line_dedup": op9_line_dedup, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
