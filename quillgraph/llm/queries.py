@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import line_dedup, mixing, sharding, simhash
+from quillgraph.llm import line_dedup, mixing, sharding, simhash, token_count
 from quillgraph.llm.common import table
 
 
@@ -27,6 +28,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every whole document by the vocabulary with word ends."""
+    return token_count.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the lines that ten documents or more share."""
     found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), min_docs=10, columns=["doc_id"])
@@ -76,7 +82,7 @@ FROM docs d JOIN plans p ON d.source IS NOT DISTINCT FROM p.source LEFT JOIN bou
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_simhash": op2_simhash, "op3_sharding": op3_sharding, "op9_line_dedup": op9_line_dedup, "op10_mixing": op10_mixing}
+    return {"op2_simhash": op2_simhash, "op3_sharding": op3_sharding, "op8_token_count": op8_token_count, "op9_line_dedup": op9_line_dedup, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
