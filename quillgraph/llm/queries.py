@@ -8,10 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import line_dedup, mixing, sharding, simhash, token_count
+from quillgraph.llm import line_dedup, mixing, sentencepiece_codec, sharding, simhash, token_count
 from quillgraph.llm.common import table
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole document, and whether they decode to its text."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    found = sentencepiece_codec.encode(table(spark, sf_dir, "documents"), model, columns=["doc_id", "text"])
+    decoded = sentencepiece_codec.decode(found, model)
+    return decoded.select("doc_id", "n_tokens", "parity", F.col("text").eqNullSafe(F.col("decoded")).alias("round_trip"), "ids")
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents whose 3-word SimHashes differ in two bits at most."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, threshold=2)
@@ -82,7 +90,7 @@ FROM docs d JOIN plans p ON d.source IS NOT DISTINCT FROM p.source LEFT JOIN bou
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_simhash": op2_simhash, "op3_sharding": op3_sharding, "op8_token_count": op8_token_count, "op9_line_dedup": op9_line_dedup, "op10_mixing": op10_mixing}
+    return {"op1_sentencepiece": op1_sentencepiece, "op2_simhash": op2_simhash, "op3_sharding": op3_sharding, "op8_token_count": op8_token_count, "op9_line_dedup": op9_line_dedup, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
