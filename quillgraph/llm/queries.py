@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import line_dedup, mixing, sentencepiece_codec, sharding, simhash, token_count
+from quillgraph.llm import line_dedup, media, mixing, sentencepiece_codec, sharding, simhash, token_count
 from quillgraph.llm.common import table
 
 
@@ -36,6 +36,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole document stored as lossless WebP, read back and measured."""
+    found = media.measured(media.stored(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
 def op8_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every whole document by the vocabulary with word ends."""
     return token_count.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
@@ -90,7 +96,7 @@ FROM docs d JOIN plans p ON d.source IS NOT DISTINCT FROM p.source LEFT JOIN bou
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sentencepiece": op1_sentencepiece, "op2_simhash": op2_simhash, "op3_sharding": op3_sharding, "op8_token_count": op8_token_count, "op9_line_dedup": op9_line_dedup, "op10_mixing": op10_mixing}
+    return {"op1_sentencepiece": op1_sentencepiece, "op2_simhash": op2_simhash, "op3_sharding": op3_sharding, "op7_media": op7_media, "op8_token_count": op8_token_count, "op9_line_dedup": op9_line_dedup, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
