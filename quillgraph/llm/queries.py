@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import line_dedup, media, mixing, quality, sentencepiece_codec, sharding, simhash, token_count
+from quillgraph.llm import ann, line_dedup, media, mixing, quality, sentencepiece_codec, sharding, simhash, token_count
 from quillgraph.llm.common import table
 
 
@@ -36,6 +36,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest of every fiftieth vector among all."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all whole documents, learnt from the labels that aren't held out."""
     return quality.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -101,7 +107,7 @@ FROM docs d JOIN plans p ON d.source IS NOT DISTINCT FROM p.source LEFT JOIN bou
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sentencepiece": op1_sentencepiece, "op2_simhash": op2_simhash, "op3_sharding": op3_sharding, "op5_quality": op5_quality, "op7_media": op7_media, "op8_token_count": op8_token_count, "op9_line_dedup": op9_line_dedup, "op10_mixing": op10_mixing}
+    return {"op1_sentencepiece": op1_sentencepiece, "op2_simhash": op2_simhash, "op3_sharding": op3_sharding, "op4_ann": op4_ann, "op5_quality": op5_quality, "op7_media": op7_media, "op8_token_count": op8_token_count, "op9_line_dedup": op9_line_dedup, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
