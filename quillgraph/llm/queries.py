@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.llm import ann, line_dedup, media, mixing, quality, sentencepiece_codec, sharding, simhash, token_count
 from quillgraph.llm.common import table
+from quillgraph.session import written
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +50,8 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole document stored as lossless WebP, read back and measured."""
-    found = media.measured(media.stored(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    kept = written(media.stored(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "media"), "media")
+    found = media.measured(kept)
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
