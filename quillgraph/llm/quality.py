@@ -209,6 +209,17 @@ def accepted(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFram
     """The rows of ``docs`` whose score is 0.5 or more, as they are."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     model = fit(written(with_statistics(slim, ["doc_id"]), "quality-statistics"), labels)
-    inside = docs.select(*(F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(docs.columns)), F.col(f"`{text}`").alias("_text"))
-    marked = scored(with_statistics(inside, inside.columns[:-1], "_text"), model)
-    return marked.where("score >= 0.5").select(*(F.col(f"_{k}").alias(c) for k, c in enumerate(docs.columns)))
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    places = [f"_{k}" for k in range(len(docs.columns))]  # whatever the columns' names, even if two are alike
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, 1024):
+                part = whole.slice(k, 1024)
+                rows = [statistics(t) for t in part.column("_measured").to_pylist()]
+                good = pa.array(sent.value.score(np.array(rows)) >= 0.5)
+                yield part.select(places).filter(good)
+
+    inside = docs.select(*(F.col(f"`{c}`").alias(p) for p, c in zip(places, docs.columns)), F.col(f"`{text}`").cast("string").cast("binary").alias("_measured"))
+    kept = inside.mapInArrow(run, T.StructType(inside.schema.fields[:-1]))
+    return kept.select(*(F.col(p).alias(c) for p, c in zip(places, docs.columns)))
