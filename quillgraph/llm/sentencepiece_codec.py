@@ -8,7 +8,8 @@ chunks: where no piece has the marker after another character, no token spans
 such a border, so a text may be cut in front of every run of markers, and a
 chunk that repeats is encoded once per worker. Models without that property are
 encoded text by text. Every chunk is verified against the SentencePiece library
-itself; ``parity`` says, for each text, whether all its chunks agree.
+itself; ``parity`` says, for each text, whether all its chunks agree, and ``round_trip`` whether its ids
+decode to it again.
 
 Edge cases: a null text has null ids, 0 tokens and decodes to null; an empty one
 has no ids; unknown characters become byte pieces (or the unknown piece, which
@@ -19,6 +20,8 @@ and those of the names added here are replaced.
 
 from __future__ import annotations
 
+import os
+import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -27,7 +30,6 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -136,25 +138,40 @@ class Codec:
         self.tokenizer.add_tokens([AddedToken(p, normalized=False) for p, _, t in m.pieces if t == USER])
         strip = [decoders.Strip(" ", 1, 0)] if m.dummy_prefix else []
         self.tokenizer.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *strip])
-        self.chunked = not any(regex.search(f"[^{MARK}]{MARK}", p) for p, _, t in m.pieces if t in (NORMAL, USER))
-        self.cut = regex.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-        self.known: dict[str, tuple[bytes, bool]] = {}
+        self.chunked = not any(re.search(f"[^{MARK}]{MARK}", p) for p, _, t in m.pieces if t in (NORMAL, USER))
+        self.cut = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+        #: With the dummy prefix every chunk starts with the marker, which is left out of its name.
+        self.lead = MARK if m.dummy_prefix and self.chunked else ""
+        self.plain = self.lead and not m.charsmap and not m.remove_extra
+        self.known: dict[str, bytes] = {}
+        self.differ: set[str] = set()
         self.spelled = [bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t == CONTROL else b" \xe2\x81\x87 " if t == UNKNOWN else p.replace(MARK, " ").encode() for p, _, t in m.pieces]
 
     def chunks(self, text: str) -> list[str]:
-        normal = self.normalizer.normalize_str(text) if text else ""
-        return self.cut.findall(normal) if self.chunked else [normal] if normal else []
+        """The text cut in front of every run of markers, each without the leading marker ``lead``."""
+        if not text:
+            return []
+        if self.plain:  # nothing to normalise: words between single spaces are the chunks
+            words = text.split(" ")
+            if "" not in words and MARK not in text:
+                return words
+        normal = self.normalizer.normalize_str(text)
+        found = self.cut.findall(normal) if self.chunked else [normal] if normal else []
+        return [c[len(self.lead) :] for c in found]
 
     def learn(self, chunks: set[str]) -> None:
         """Encode what is new, on all threads, and compare it with the library of the model."""
         if len(self.known) > CACHE_CHUNKS:
             self.known.clear()
+            self.differ.clear()
         new = [c for c in chunks if c not in self.known]
-        for k in range(0, len(new), 1 << 14):
-            part = new[k : k + (1 << 14)]
+        for k in range(0, len(new), 1 << 13):
+            names = new[k : k + (1 << 13)]
+            part = [self.lead + c for c in names]
             ours = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
             theirs = self._reference(part)
-            self.known |= {c: (struct.pack(f"<{len(a)}i", *a), a == b) for c, a, b in zip(part, ours, theirs)}
+            self.known.update((c, struct.pack(f"<{len(a)}i", *a)) for c, a in zip(names, ours))
+            self.differ.update(c for c, a, b in zip(names, ours, theirs) if a != b)
 
     def _reference(self, chunks: list[str]) -> list[list[int]]:
         """The model's own library on chunks; its dummy prefix stands for one leading marker."""
@@ -167,8 +184,8 @@ class Codec:
         """Ids of every text as packed 32-bit numbers, and whether they have been found to agree."""
         cut = [None if t is None else self.chunks(t) for t in texts]
         self.learn(set().union(*(c for c in cut if c)))
-        found = [None if c is None else [self.known[x] for x in c] for c in cut]
-        return [None if f is None else b"".join([a for a, _ in f]) for f in found], [f is None or all([b for _, b in f]) for f in found]
+        known, differ = self.known.__getitem__, self.differ
+        return [None if c is None else b"".join(map(known, c)) for c in cut], [not differ or not c or differ.isdisjoint(c) for c in cut]
 
     def decode(self, ids: np.ndarray) -> str:
         """The bytes of the pieces put together; bytes that are no UTF-8 are left to the library."""
@@ -180,11 +197,13 @@ class Codec:
 
 
 @cache
-def load(path: str) -> Codec:
+def load(path: str, threads: int = 2) -> Codec:
+    """``threads``: of one worker's encoding, set before the library starts its own."""
+    os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
     return Codec(path)
 
 
-def _slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about ``most`` bytes of text, a row at least."""
     sizes = np.array(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False), np.int64)
     part = np.cumsum(sizes) // most
@@ -194,23 +213,29 @@ def _slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator
 
 
 def encode(docs: DataFrame, model: str, text: str = "text", columns: list[str] | None = None) -> DataFrame:
-    """``docs`` with ids (array<int>), n_tokens and parity; ``model``: the file's path on every machine."""
-    added = ("ids", "n_tokens", "parity")
+    """``docs`` with ids (array<int>), n_tokens, parity and round_trip.
+
+    ``model``: the file's path on every machine. ``round_trip``: whether the ids
+    decode to the text itself, found in the same pass.
+    """
+    added = ("ids", "n_tokens", "parity", "round_trip")
     keep = [c for c in (columns if columns is not None else docs.columns) if c not in added]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = load(model)
         for batch in batches:
             for part in _slices(batch, "_encoded"):
-                packed, parity = codec.encode(part.column("_encoded").to_pylist())
+                texts = part.column("_encoded").to_pylist()
+                packed, parity = codec.encode(texts)
+                same = [p is None or codec.decode(np.frombuffer(p, "<i4")) == t for p, t in zip(packed, texts)]
                 lengths = np.array([len(p or b"") // 4 for p in packed], np.int64)
                 ends = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
                 nulls = pa.array(np.array([p is None for p in packed], bool))
                 ids = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(p or b"" for p in packed), "<i4")), mask=nulls)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), ids, pa.array(lengths), pa.array(parity)], [*keep, *added])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), ids, pa.array(lengths), pa.array(parity, pa.bool_()), pa.array(same, pa.bool_())], [*keep, *added])
 
     base = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").cast("string").alias("_encoded"))
-    schema = T.StructType([*base.schema.fields[:-1], *T._parse_datatype_string("ids array<int>, n_tokens long, parity boolean").fields])
+    schema = T.StructType([*base.schema.fields[:-1], *T._parse_datatype_string("ids array<int>, n_tokens long, parity boolean, round_trip boolean").fields])
     return base.mapInArrow(run, schema)
 
 

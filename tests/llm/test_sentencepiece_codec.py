@@ -58,6 +58,6 @@ def test_rows(spark):
     rows = [(1, None), (1, "a b"), (1, "a b"), (None, ""), (3, "long words " * 20000)]
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, ids string")
     found = C.decode(C.encode(df, PATH), PATH).collect()
-    assert sorted((r.doc_id or -1, r.decoded or "-", r.parity) for r in found) == sorted((i or -1, t or "-", True) for i, t in rows)
+    assert sorted((r.doc_id or -1, r.decoded or "-", r.parity, r.round_trip) for r in found) == sorted((i or -1, t or "-", True, True) for i, t in rows)
     assert {r.n_tokens for r in found if not r.text} == {0}
     assert C.decode(C.encode(df.limit(0), PATH), PATH).count() == 0
