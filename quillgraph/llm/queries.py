@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import ann, line_dedup, media, mixing, quality, sentencepiece_codec, sharding, simhash, token_count
+from quillgraph.llm import ann, licenses, line_dedup, media, mixing, quality, sentencepiece_codec, sharding, simhash, token_count
 from quillgraph.llm.common import table
 from quillgraph.session import written
 
@@ -46,6 +46,12 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every licence that a whole document states, with its place and how its wording differs."""
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "start", "end", "license", F.round("saving", 4).alias("saving"), "differing", "exact", "differences")
+
+
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole document stored as lossless WebP, read back and measured."""
     kept = written(media.stored(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "media"), "media")
@@ -107,7 +113,7 @@ FROM docs d JOIN plans p ON d.source IS NOT DISTINCT FROM p.source LEFT JOIN bou
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sentencepiece": op1_sentencepiece, "op2_simhash": op2_simhash, "op3_sharding": op3_sharding, "op4_ann": op4_ann, "op5_quality": op5_quality, "op7_media": op7_media, "op8_token_count": op8_token_count, "op9_line_dedup": op9_line_dedup, "op10_mixing": op10_mixing}
+    return {"op1_sentencepiece": op1_sentencepiece, "op2_simhash": op2_simhash, "op3_sharding": op3_sharding, "op4_ann": op4_ann, "op5_quality": op5_quality, "op6_licenses": op6_licenses, "op7_media": op7_media, "op8_token_count": op8_token_count, "op9_line_dedup": op9_line_dedup, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
