@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: White space of Unicode, spelled out: Java's \s is narrower.
-SPACE = r"\x09-\x0D\x1C-\x20\x85\xA0  -     　"
+SPACE = r"\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 #: Applied one after the other: "&amp;lt;" becomes "<".
 ENTITIES = (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&quot;", '"'))
 

@@ -1,17 +1,15 @@
-"""The tables that stages exchange; every one has a fixed schema."""
+"""The tables that stages exchange; every one has a fixed schema, stated as DDL."""
 
-from pyspark.sql import types as T
-
-TRIPLES = T._parse_datatype_string("s string, p string, o string, o_kind string, o_lang string, o_dtype string")
-RAW_DOCUMENTS = T._parse_datatype_string("url string, title string, text string, char_count int, status string")
-CLEAN_DOCUMENTS = T._parse_datatype_string("url string, title string, sentences array<string>, clean_text string, sentence_count int")
-ENTITY_DOCUMENTS = T._parse_datatype_string("url string, title string, entity_count int, entities array<struct<text:string,label:string,start:int,end:int>>")
-MENTIONS = T._parse_datatype_string("doc_id string, label string, text string, start int, end int")
-REGISTRY = T._parse_datatype_string("text string, label string, uri string, class_uri string")
-IDS = T._parse_datatype_string("id bigint, uri string")
-SPLIT = T._parse_datatype_string("s string, p string, o string, split string")
-PLAIN = T._parse_datatype_string("s string, p string, o string")
-CANDIDATES = T._parse_datatype_string("label string, rank int, qid string, wd_label string, wd_desc string")
+TRIPLES = "s string, p string, o string, o_kind string, o_lang string, o_dtype string"
+RAW_DOCUMENTS = "url string, title string, text string, char_count int, status string"
+CLEAN_DOCUMENTS = "url string, title string, sentences array<string>, clean_text string, sentence_count int"
+ENTITY_DOCUMENTS = "url string, title string, entity_count int, entities array<struct<text:string,label:string,start:int,end:int>>"
+MENTIONS = "doc_id string, label string, text string, start int, end int"
+REGISTRY = "text string, label string, uri string, class_uri string"
+IDS = "id bigint, uri string"
+SPLIT = "s string, p string, o string, split string"
+PLAIN = "s string, p string, o string"
+CANDIDATES = "label string, rank int, qid string, wd_label string, wd_desc string"
 
 #: Kinds of terms.
 URI, LITERAL, BLANK = "uri", "literal", "bnode"
