@@ -6,6 +6,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space of Unicode, spelled out: Java's \s is narrower.
 SPACE = r"\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
@@ -13,7 +14,7 @@ SPACE = r"\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\
 ENTITIES = (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&quot;", '"'))
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def ascii_fold(text: pa.Array) -> pa.Array:
     """Compatibility decomposition, then only ASCII stays. Arrow kernels over whole batches."""
     return pc.replace_substring_regex(pc.utf8_normalize(text, form="NFKD"), pattern=r"[^\x00-\x7F]", replacement="")
