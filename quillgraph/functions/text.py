@@ -45,7 +45,7 @@ def distinct_sentences(parts: Column) -> Column:
     ordered = F.array_sort(F.transform(parts, lambda x, i: F.struct(F.lower(x).alias("k"), i.alias("i"), x.alias("s"))))
     size = F.greatest(F.size(ordered) - 1, F.lit(0))
     before = F.concat(F.array(F.lit(None).cast("struct<k:string,i:int,s:string>")), F.slice(ordered, 1, size))
-    firsts = F.zip_with(ordered, before, lambda a, b: F.when(b.isNull() | (a["k"] != b["k"]), F.struct(a["i"].alias("i"), a["s"].alias("s"))))
+    firsts = F.zip_with(ordered, before, lambda a, b: F.when(a.isNotNull() & (b.isNull() | (a["k"] != b["k"])), F.struct(a["i"].alias("i"), a["s"].alias("s"))))
     return F.transform(F.array_sort(F.array_compact(firsts)), lambda x: x["s"])
 
 

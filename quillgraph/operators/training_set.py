@@ -34,7 +34,9 @@ def reasons(
     value = F.regexp_replace("value", f"^{WHITE}+|{WHITE}+$", "")
     x = lines.select(value.alias("value")).where("value <> '' and not startswith(value, '#')")
     parts = F.split("value", f"{WHITE}+", 4)
-    x = x.select(F.size(parts).alias("n"), *(extract_uri(F.get(parts, F.lit(k))).alias(c) for k, c in enumerate(("s", "p", "o"))))
+    row = F.struct(F.size(parts).alias("n"), *(extract_uri(F.get(parts, F.lit(k))).alias(c) for k, c in enumerate(("s", "p", "o"))))
+    # a generator of one row: filters on the reason stay above it, so a line is split once
+    x = x.select(F.inline(F.array(row)))
     hub = F.lit(False)
     for p, objects in hub_objects.items():
         hub = hub | ((F.col("p") == p) & F.coalesce(F.col("o").isin(*objects), F.lit(False)))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -33,7 +35,9 @@ def shared_folder(spark: SparkSession) -> str:
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="quillgraph-")
+        own = tempfile.mkdtemp(prefix="quillgraph-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        folder = "file://" + own
         spark.conf.set("spark.checkpoint.dir", folder)
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -47,4 +51,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_WRITTEN: list[str] = []
+
+
+def discard_written(spark: SparkSession) -> None:
+    """Delete the tables that ``written`` has made; results that still read them are gone, too."""
+    while _WRITTEN:
+        at = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
