@@ -10,6 +10,9 @@ from pyspark.sql import types as T
 
 #: White space of Unicode, spelled out: Java's \s is narrower.
 SPACE = r"\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+#: The same for text that has been folded to ASCII, with a character class that matches faster.
+ASCII_SPACE = r"\x09-\x0D\x1C-\x20"
+_WHITE = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 #: Applied one after the other: "&amp;lt;" becomes "<".
 ENTITIES = (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&quot;", '"'))
 
@@ -20,33 +23,40 @@ def ascii_fold(text: pa.Array) -> pa.Array:
     return pc.replace_substring_regex(pc.utf8_normalize(text, form="NFKD"), pattern=r"[^\x00-\x7F]", replacement="")
 
 
-def squeezed(text: Column) -> Column:
+def squeezed(text: Column, space: str = SPACE) -> Column:
     """White space collapsed to single spaces, none at the ends."""
-    return F.trim(F.regexp_replace(text, f"[{SPACE}]+", " "))
+    return F.trim(F.regexp_replace(text, f"[{space}]+", " "))
 
 
-def without_noise(text: Column) -> Column:
+def without_noise(text: Column, space: str = SPACE) -> Column:
     """No reference marks, no addresses, entities decoded, white space collapsed."""
-    for pattern in (r"\[\d+\]", r"(?i)\[citation needed\]", r"(?i)\[edit\]", f"https?://[^{SPACE}]+"):
+    for pattern in (r"\[\d+\]", r"(?i)\[citation needed\]", r"(?i)\[edit\]", f"https?://[^{space}]+"):
         text = F.regexp_replace(text, pattern, "")
     for entity, sign in ENTITIES:
         text = F.replace(text, F.lit(entity), F.lit(sign))
-    return squeezed(text)
+    return squeezed(text, space)
 
 
-def sentences(text: Column) -> Column:
+def sentences(text: Column, space: str = SPACE) -> Column:
     """Cut at white space between a sentence's end and a capital; empty parts go."""
-    parts = F.split(text, f"(?<=[.!?])[{SPACE}]+(?=[A-Z])")
-    return F.filter(F.transform(parts, lambda x: F.regexp_replace(x, f"^[{SPACE}]+|[{SPACE}]+$", "")), lambda x: x != "")
+    parts = F.split(text, f"(?<=[.!?])[{space}]+(?=[A-Z])")
+    return F.filter(F.transform(parts, lambda x: F.trim(x, F.lit(_WHITE))), lambda x: x != "")
 
 
-def distinct_sentences(parts: Column) -> Column:
-    """The first of those alike but for case, in order: sorted by key, neighbours compared."""
-    ordered = F.array_sort(F.transform(parts, lambda x, i: F.struct(F.lower(x).alias("k"), i.alias("i"), x.alias("s"))))
+def keyed(parts: Column) -> Column:
+    """Sentences with key and place, sorted: what ``firsts`` wants, as a column of its own."""
+    return F.array_sort(F.transform(parts, lambda x, i: F.struct(F.lower(x).alias("k"), i.alias("i"), x.alias("s"))))
+
+
+def firsts(ordered: Column) -> Column:
+    """The first of those alike but for case, in the order of the text: sorted neighbours are compared.
+
+    ``ordered`` is read three times, so it should be a column, not an expression.
+    """
     size = F.greatest(F.size(ordered) - 1, F.lit(0))
     before = F.concat(F.array(F.lit(None).cast("struct<k:string,i:int,s:string>")), F.slice(ordered, 1, size))
-    firsts = F.zip_with(ordered, before, lambda a, b: F.when(a.isNotNull() & (b.isNull() | (a["k"] != b["k"])), F.struct(a["i"].alias("i"), a["s"].alias("s"))))
-    return F.transform(F.array_sort(F.array_compact(firsts)), lambda x: x["s"])
+    kept = F.zip_with(ordered, before, lambda a, b: F.when(a.isNotNull() & (b.isNull() | (a["k"] != b["k"])), F.struct(a["i"].alias("i"), a["s"].alias("s"))))
+    return F.transform(F.array_sort(F.array_compact(kept)), lambda x: x["s"])
 
 
 def words(text: Column) -> Column:

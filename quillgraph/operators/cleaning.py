@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.functions import vocabulary
-from quillgraph.functions.text import ascii_fold, distinct_sentences, sentences, without_noise
+from quillgraph.functions.text import ASCII_SPACE, ascii_fold, firsts, keyed, sentences, without_noise
 
 
 def clean_documents(raw: DataFrame, text: str = "text", min_sentence: int = vocabulary.MIN_SENTENCE) -> DataFrame:
@@ -15,9 +15,11 @@ def clean_documents(raw: DataFrame, text: str = "text", min_sentence: int = voca
     Folded to ASCII, noise removed, cut into sentences, short ones dropped,
     repeated ones dropped but for the first. Nothing is shuffled.
     """
-    cut = F.filter(sentences(without_noise(ascii_fold(F.col(text)))), lambda s: F.length(s) >= min_sentence)
+    plain = without_noise(ascii_fold(F.col(text)), ASCII_SPACE)
+    cut = F.filter(sentences(plain, ASCII_SPACE), lambda s: F.length(s) >= min_sentence)
     keep = [c for c in raw.columns if c not in (text, "sentences", "clean_text", "sentence_count")]
-    return raw.select(*keep, distinct_sentences(cut).alias("sentences")).select(
+    ordered = raw.select(*keep, keyed(cut).alias("_ordered"))
+    return ordered.select(*keep, firsts(F.col("_ordered")).alias("sentences")).select(
         *keep, "sentences", F.array_join("sentences", " ").alias("clean_text"), F.size("sentences").alias("sentence_count")
     )
 
@@ -29,8 +31,12 @@ def clean_corpus(raw: DataFrame) -> DataFrame:
 
 
 def sentence_rows(clean: DataFrame, key: str = "url") -> DataFrame:
-    """doc_id, pos, sentence: the long form."""
-    return clean.select(F.col(key).cast("string").alias("doc_id"), F.posexplode("sentences").alias("pos", "sentence"))
+    """doc_id, pos, sentence: the long form.
+
+    The outer form, as the plain one lets Spark infer a filter on the sentences,
+    which would be pushed below and make every text be cleaned once more.
+    """
+    return clean.select(F.col(key).cast("string").alias("doc_id"), F.posexplode_outer("sentences").alias("pos", "sentence")).where("pos is not null")
 
 
 def corpus_stats(raw: DataFrame, clean: DataFrame, key: str = "url", by: str | None = None) -> DataFrame:

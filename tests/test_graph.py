@@ -33,8 +33,8 @@ def test_noise(spark):
 def test_sentences(spark):
     given = ["One is here. Two! three? Four.", "", "A. A. a. B"]
     assert column(spark, given, X.sentences) == [["One is here.", "Two! three?", "Four."], [], ["A.", "A. a.", "B"]]
-    assert column(spark, ["Xy. ab. XY. Q. xy."], lambda t: X.distinct_sentences(F.split(t, " "))) == [["Xy.", "ab.", "Q."]]
-    assert column(spark, [""], lambda t: X.distinct_sentences(F.filter(F.split(t, " "), lambda x: x != ""))) == [[]]
+    assert column(spark, ["Xy. ab. XY. Q. xy."], lambda t: X.firsts(X.keyed(F.split(t, " ")))) == [["Xy.", "ab.", "Q."]]
+    assert column(spark, [""], lambda t: X.firsts(X.keyed(F.filter(F.split(t, " "), lambda x: x != "")))) == [[]]
 
 
 def test_clean_corpus(spark):
