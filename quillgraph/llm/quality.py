@@ -6,8 +6,8 @@ ridge regression's normal equations, the sums are added and solved once. A part
 of the training rows is kept out of the sums for isotonic calibration: their raw
 scores are counted in bins, pooled until they rise, and interpolated, so the
 final score is a probability that label 1 holds. What reaches the driver has a
-fixed size (a matrix for each of ``SUM_TASKS`` tasks, ``BINS`` bins); all
-labelled training rows take part, however many.
+fixed size (at most ``SUM_TASKS`` sums, as a tree of tasks adds up more, and
+``BINS`` bins); all labelled training rows take part, however many.
 
 A row is held out if crc32 of its id, as text, modulo 3 is 1. Ids serve for that
 alone; language, source and labels are never inputs of a score.
@@ -30,6 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,6 +39,9 @@ from quillgraph.session import written
 
 FEATURES, SEED, RIDGE = 256, 11, 1e-3
 SUM_TASKS, BINS = 16, 2048
+#: Rows that one task sums, and partial sums that the tree adds at once.
+TASK_ROWS, FAN = 250_000, 32
+SUMS = "place long, a binary, b binary, n long"
 RAW_LOW, RAW_HIGH = -1.0, 2.0
 #: One row in this many of the training rows calibrates.
 CALIBRATION = 4
@@ -135,6 +139,12 @@ def rising(centres: np.ndarray, sums: np.ndarray, counts: np.ndarray) -> tuple[n
     return np.array([c / n for c, _, n in blocks]), np.array([s / n for _, s, n in blocks])
 
 
+def _added(key: tuple, parts: pa.Table) -> pa.Table:
+    """The sum of at most FAN partial sums."""
+    add = lambda c: sum(np.frombuffer(x) for x in parts.column(c).to_pylist()).tobytes()
+    return pa.table({"place": pa.array([key[0].as_py()], pa.int64()), "a": [add("a")], "b": [add("b")], "n": [sum(parts.column("n").to_pylist())]})
+
+
 def fit(measured: DataFrame, labels: DataFrame, label: str = "quality", width: float = 0.12) -> Model:
     """``measured`` has doc_id and statistics. ``width``: of the kernel, for standardised statistics."""
     spark = measured.sparkSession
@@ -143,8 +153,9 @@ def fit(measured: DataFrame, labels: DataFrame, label: str = "quality", width: f
     waves, phases = rng.normal(0, width, (k, FEATURES)), rng.uniform(0, 2 * np.pi, FEATURES)
     told = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("double").alias("y")).where("y is not null")
     train = measured.join(told, "doc_id").where(~held_out(F.col("doc_id"))).select("statistics", "y", (F.pmod(F.xxhash64("doc_id"), F.lit(CALIBRATION)) == 0).alias("calibrates"))
-    train = train.repartition(SUM_TASKS).persist()
+    train = written(train, "quality-train")
     moments = train.agg(F.count("*"), F.avg("y"), *(f(F.col("statistics")[i]) for i in range(k) for f in (F.avg, F.stddev_pop))).first()
+    tasks = max(SUM_TASKS, -(-moments[0] // TASK_ROWS))
     model = Model(np.zeros(k), np.ones(k), waves, phases, np.zeros(FEATURES + 1), np.array([0.0]), np.array([0.5]))
     if not moments[0]:
         return model
@@ -159,10 +170,16 @@ def fit(measured: DataFrame, labels: DataFrame, label: str = "quality", width: f
         for batch in batches:
             z = sent.value.lifted(_matrix(batch.column(0)))
             left, right, rows = left + z.T @ z, right + z.T @ batch.column(1).to_numpy(), rows + len(z)
-        yield pa.RecordBatch.from_arrays([pa.array([left.tobytes()]), pa.array([right.tobytes()]), pa.array([rows])], ["a", "b", "n"])
-
-    parts = train.where("not calibrates").select("statistics", "y").mapInArrow(sums, "a binary, b binary, n long").collect()  # SUM_TASKS rows
-    left, right, rows = (sum(np.frombuffer(bytes(p.a)) for p in parts).reshape(FEATURES + 1, -1), sum(np.frombuffer(bytes(p.b)) for p in parts), sum(p.n for p in parts))
+        place = TaskContext.get().partitionId()
+        yield pa.RecordBatch.from_arrays([pa.array([place]), pa.array([left.tobytes()]), pa.array([right.tobytes()]), pa.array([rows])], ["place", "a", "b", "n"])
+
+    parts = train.where("not calibrates").select("statistics", "y").repartition(tasks).mapInArrow(sums, SUMS)
+    while tasks > SUM_TASKS:  # a tree: FAN partial sums become one
+        tasks = -(-tasks // FAN)
+        parts = written(parts.withColumn("place", F.pmod("place", F.lit(tasks))).groupBy("place").applyInArrow(_added, SUMS), "quality-sums")
+    found = parts.collect()  # at most SUM_TASKS rows
+    left, right = (sum(np.frombuffer(bytes(p[c])) for p in found) for c in "ab")
+    left, rows = left.reshape(FEATURES + 1, -1), sum(p.n for p in found)
     model.weights = np.linalg.solve(left + RIDGE * max(1, rows) / FEATURES * np.eye(FEATURES + 1), right)
     sent = spark.sparkContext.broadcast(model)
 
@@ -174,7 +191,6 @@ def fit(measured: DataFrame, labels: DataFrame, label: str = "quality", width: f
 
     counts = train.where("calibrates").select("statistics", "y").mapInArrow(binned, "bin int, y double").groupBy("bin").agg(F.sum("y").alias("y"), F.count("*").alias("n")).collect()
     counts.sort()
-    train.unpersist()
     if counts:
         at, y, n = (np.array(x, float) for x in zip(*counts))
         model.knots, model.levels = rising(RAW_LOW + (at + 0.5) * (RAW_HIGH - RAW_LOW) / BINS, y, n)

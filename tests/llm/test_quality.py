@@ -57,3 +57,13 @@ def test_rows(spark, given, score):
     assert Q.classified(docs.limit(0), labels).count() == 0
     kept = Q.accepted(docs, labels)
     assert kept.columns == docs.columns and kept.count() == (5 if score >= 0.5 else 0)
+
+
+def test_a_tree_of_sums_gives_the_same_model(spark, monkeypatch):
+    folder = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    one = Q.classified(docs, labels).toPandas().set_index("doc_id").score.sort_index()
+    monkeypatch.setattr(Q, "SUM_TASKS", 2)
+    monkeypatch.setattr(Q, "TASK_ROWS", 5)
+    monkeypatch.setattr(Q, "FAN", 3)
+    assert np.allclose(one, Q.classified(docs, labels).toPandas().set_index("doc_id").score.sort_index())
