@@ -53,3 +53,23 @@ def test_stages_against_brute_force(spark):
 
 def test_run_is_the_stages_in_turn(spark):
     assert P.run(spark, FOLDER).count() > 50
+
+
+def test_odd_rows_pass_every_stage(spark):
+    """Null ids, texts, sources and languages, repeated rows, empty and long texts; then no rows at all."""
+    long = "A fairly ordinary sentence of words. " * 8000
+    rows = [(None, None, None, None, None), (None, "", None, "s", 0), (7, "same text", "en", "s", 9), (7, "same text", "en", "s", 9), (7, "other text", "en", None, 10), (8, long, "en", "t", len(long)), (9, long, None, "t", len(long))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for start in (docs, docs.limit(0)):
+        now = start
+        for name, stage in P.STAGES:
+            now = written(stage(spark, now, FOLDER), "odd")
+            if name != "encode":
+                assert now.columns == docs.columns
+        assert now.count() == 0 or not start.isEmpty()
+    # each stage on its own input
+    assert P.STAGES[1][1](spark, docs, FOLDER).count() == len(rows)
+    kept = P.STAGES[2][1](spark, docs, FOLDER).collect()
+    assert sorted((r.doc_id or -1, r.text or "") for r in kept) == sorted([(-1, ""), (7, "same text"), (7, "other text"), (8, long)])
+    assert {(r.text or "")[:9] for r in P.STAGES[3][1](spark, docs, FOLDER).collect()} <= {(r[1] or "")[:9] for r in rows}
+    assert P.STAGES[4][1](spark, docs, FOLDER).count() == len(rows)
