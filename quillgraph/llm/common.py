@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,3 +35,18 @@ def projection(df: DataFrame, columns: dict[str, str], kinds: dict[str, str]) ->
 
 def struct(**kinds: str) -> T.StructType:
     return T.StructType([T.StructField(k, T.DataType.fromDDL(v)) for k, v in kinds.items()])
+
+
+def parts(batches: Iterator[pa.RecordBatch], column: str | int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches cut into parts with about ``most`` bytes in one column, a row at least.
+
+    Python objects are made of one part at a time, so a worker's memory doesn't
+    follow the size of Arrow's batches.
+    """
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        starts = np.flatnonzero(np.diff(np.cumsum(sizes) // most, prepend=-1))
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(sizes)]):
+            yield batch.slice(a, b - a)

@@ -25,6 +25,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillgraph.llm.common import parts
+
 #: Notices as the licences' own texts word them, and one-line forms in common use.
 TEMPLATES: tuple[tuple[str, str], ...] = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -183,7 +185,7 @@ def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     names = ["doc_id", "start", "end", "license", "saving", "differing", "exact", "differences", "block"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches, "text"):
             rows = []
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for f in scan(t):

@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillgraph.llm.common import parts
 from quillgraph.session import written
 
 #: Keys a shard aims at, and bytes of index that one pass over the documents holds.
@@ -53,7 +54,7 @@ def _halves(keys: list[bytes]) -> np.ndarray:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in parts(batches, 0):
         seen: Counter[bytes] = Counter()
         for text in batch.column(0).to_pylist():
             seen.update(set(line_keys(text)) - {b""})
@@ -198,7 +199,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, text: str = "text", columns
 def _probed(sent, shards: int, keep: list[str], final: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = {shard: Shard(blob) for shard, blob in sent.value.items()}
-        for batch in batches:
+        for batch in parts(batches, "_text"):
             texts, gone = batch.column("_text").to_pylist(), batch.column("_gone").to_pylist()
             keys = [line_keys(t) for t in texts]
             flat = [k for doc in keys for k in doc]
@@ -214,18 +215,18 @@ def _probed(sent, shards: int, keep: list[str], final: bool):
                 hit[ids[b""]] = False
             flags = hit[at].astype(np.uint8)
             ends = np.cumsum([len(doc) for doc in keys])
-            parts = [flags[e - len(doc) : e] for e, doc in zip(ends, keys)]
-            parts = [p if g is None else p | np.frombuffer(g, np.uint8) for p, g in zip(parts, gone)]
+            marks = [flags[e - len(doc) : e] for e, doc in zip(ends, keys)]
+            marks = [p if g is None else p | np.frombuffer(g, np.uint8) for p, g in zip(marks, gone)]
             columns = [batch.column(c) for c in keep]
             if final:
                 out = []
-                for text, part in zip(texts, parts):
-                    if part.any():
-                        text = b"\n".join(line for line, drop in zip(text.split(b"\n"), part) if not drop)
+                for text, mark in zip(texts, marks):
+                    if mark.any():
+                        text = b"\n".join(line for line, drop in zip(text.split(b"\n"), mark) if not drop)
                     out.append((text or b"").decode())
-                columns += [pa.array(out, pa.string()), pa.array([len(p) for p in parts], pa.int64()), pa.array([int(p.sum()) for p in parts], pa.int64())]
+                columns += [pa.array(out, pa.string()), pa.array([len(p) for p in marks], pa.int64()), pa.array([int(p.sum()) for p in marks], pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, [*keep, "_text", "_n_lines", "_n_dropped"])
             else:
-                yield pa.RecordBatch.from_arrays([*columns, batch.column("_text"), pa.array([p.tobytes() for p in parts], pa.binary())], [*keep, "_text", "_gone"])
+                yield pa.RecordBatch.from_arrays([*columns, batch.column("_text"), pa.array([p.tobytes() for p in marks], pa.binary())], [*keep, "_text", "_gone"])
 
     return run

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillgraph.llm import webp
+from quillgraph.llm.common import parts
 
 WIDTH = 64
 
@@ -42,12 +43,12 @@ def to_media(payload: bytes) -> bytes:
 
 def from_media(media: bytes) -> np.ndarray:
     """Samples, (rows, 64), of all images in turn."""
-    parts, at = [], 0
+    images, at = [], 0
     while at < len(media):
         size = 8 + struct.unpack_from("<I", media, at + 4)[0]
-        parts.append(webp.decode_grey(media[at : at + size]))
+        images.append(webp.decode_grey(media[at : at + size]))
         at += size
-    return np.concatenate(parts) if len(parts) > 1 else parts[0]
+    return np.concatenate(images) if len(images) > 1 else images[0]
 
 
 def feature(samples: np.ndarray) -> str:
@@ -72,11 +73,9 @@ def _mapped(df: DataFrame, column: str, kind: str, added: str, make) -> DataFram
         from pyspark.sql.pandas.types import to_arrow_type
 
         kinds = [to_arrow_type(f.dataType) for f in schema.fields]
-        for whole in batches:
-            for k in range(0, whole.num_rows, 512):
-                part = whole.slice(k, 512)
-                rows = [make(x) for x in part.column("_given").to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *(pa.array(x, t) for x, t in zip(zip(*rows), kinds))], [*keep, *schema.names])
+        for part in parts(batches, "_given"):
+            rows = [make(x) for x in part.column("_given").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *(pa.array(x, t) for x, t in zip(zip(*rows), kinds))], [*keep, *schema.names])
 
     base = df.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{column}`").cast(kind).alias("_given"))
     return base.mapInArrow(run, T.StructType([*base.schema.fields[:-1], *schema.fields]))

@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillgraph.llm.common import parts
 from quillgraph.session import written
 
 FEATURES, SEED, RIDGE = 256, 11, 1e-3
@@ -92,7 +93,7 @@ def with_statistics(docs: DataFrame, columns: list[str], text: str = "text") ->
     """``columns`` and ``statistics``, an array of doubles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches, "_measured"):
             rows = [statistics(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
             values = pa.array(np.concatenate(rows) if rows else np.zeros(0))
             ends = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * len(STATISTICS))
@@ -139,10 +140,10 @@ def rising(centres: np.ndarray, sums: np.ndarray, counts: np.ndarray) -> tuple[n
     return np.array([c / n for c, _, n in blocks]), np.array([s / n for _, s, n in blocks])
 
 
-def _added(key: tuple, parts: pa.Table) -> pa.Table:
+def _added(key: tuple, sums: pa.Table) -> pa.Table:
     """The sum of at most FAN partial sums."""
-    add = lambda c: sum(np.frombuffer(x) for x in parts.column(c).to_pylist()).tobytes()
-    return pa.table({"place": pa.array([key[0].as_py()], pa.int64()), "a": [add("a")], "b": [add("b")], "n": [sum(parts.column("n").to_pylist())]})
+    add = lambda c: sum(np.frombuffer(x) for x in sums.column(c).to_pylist()).tobytes()
+    return pa.table({"place": pa.array([key[0].as_py()], pa.int64()), "a": [add("a")], "b": [add("b")], "n": [sum(sums.column("n").to_pylist())]})
 
 
 def fit(measured: DataFrame, labels: DataFrame, label: str = "quality", width: float = 0.12) -> Model:
@@ -173,11 +174,11 @@ def fit(measured: DataFrame, labels: DataFrame, label: str = "quality", width: f
         place = TaskContext.get().partitionId()
         yield pa.RecordBatch.from_arrays([pa.array([place]), pa.array([left.tobytes()]), pa.array([right.tobytes()]), pa.array([rows])], ["place", "a", "b", "n"])
 
-    parts = train.where("not calibrates").select("statistics", "y").repartition(tasks).mapInArrow(sums, SUMS)
+    partial = train.where("not calibrates").select("statistics", "y").repartition(tasks).mapInArrow(sums, SUMS)
     while tasks > SUM_TASKS:  # a tree: FAN partial sums become one
         tasks = -(-tasks // FAN)
-        parts = written(parts.withColumn("place", F.pmod("place", F.lit(tasks))).groupBy("place").applyInArrow(_added, SUMS), "quality-sums")
-    found = parts.collect()  # at most SUM_TASKS rows
+        partial = written(partial.withColumn("place", F.pmod("place", F.lit(tasks))).groupBy("place").applyInArrow(_added, SUMS), "quality-sums")
+    found = partial.collect()  # at most SUM_TASKS rows
     left, right = (sum(np.frombuffer(bytes(p[c])) for p in found) for c in "ab")
     left, rows = left.reshape(FEATURES + 1, -1), sum(p.n for p in found)
     model.weights = np.linalg.solve(left + RIDGE * max(1, rows) / FEATURES * np.eye(FEATURES + 1), right)
@@ -229,12 +230,9 @@ def accepted(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFram
     places = [f"_{k}" for k in range(len(docs.columns))]  # whatever the columns' names, even if two are alike
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for k in range(0, whole.num_rows, 1024):
-                part = whole.slice(k, 1024)
-                rows = [statistics(t) for t in part.column("_measured").to_pylist()]
-                good = pa.array(sent.value.score(np.array(rows)) >= 0.5)
-                yield part.select(places).filter(good)
+        for part in parts(batches, "_measured"):
+            rows = [statistics(t) for t in part.column("_measured").to_pylist()]
+            yield part.select(places).filter(pa.array(sent.value.score(np.array(rows)) >= 0.5))
 
     inside = docs.select(*(F.col(f"`{c}`").alias(p) for p, c in zip(places, docs.columns)), F.col(f"`{text}`").cast("string").cast("binary").alias("_measured"))
     kept = inside.mapInArrow(run, T.StructType(inside.schema.fields[:-1]))

@@ -29,16 +29,17 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers
 
+from quillgraph.llm.common import parts
+
 MARK = "▁"
 #: Chunks a worker remembers; beyond that it starts anew.
-CACHE_CHUNKS = 1 << 19
+CACHE_CHUNKS = 1 << 18
 #: The piece types of the model format.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -203,15 +204,6 @@ def load(path: str, threads: int = 2) -> Codec:
     return Codec(path)
 
 
-def _slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with about ``most`` bytes of text, a row at least."""
-    sizes = np.array(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False), np.int64)
-    part = np.cumsum(sizes) // most
-    starts = np.flatnonzero(np.diff(part, prepend=-1))
-    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(sizes)]):
-        yield batch.slice(a, b - a)
-
-
 def encode(docs: DataFrame, model: str, text: str = "text", columns: list[str] | None = None) -> DataFrame:
     """``docs`` with ids (array<int>), n_tokens, parity and round_trip.
 
@@ -223,16 +215,15 @@ def encode(docs: DataFrame, model: str, text: str = "text", columns: list[str] |
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = load(model)
-        for batch in batches:
-            for part in _slices(batch, "_encoded"):
-                texts = part.column("_encoded").to_pylist()
-                packed, parity = codec.encode(texts)
-                same = [p is None or codec.decode(np.frombuffer(p, "<i4")) == t for p, t in zip(packed, texts)]
-                lengths = np.array([len(p or b"") // 4 for p in packed], np.int64)
-                ends = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
-                nulls = pa.array(np.array([p is None for p in packed], bool))
-                ids = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(p or b"" for p in packed), "<i4")), mask=nulls)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), ids, pa.array(lengths), pa.array(parity, pa.bool_()), pa.array(same, pa.bool_())], [*keep, *added])
+        for part in parts(batches, "_encoded"):
+            texts = part.column("_encoded").to_pylist()
+            packed, parity = codec.encode(texts)
+            same = [p is None or codec.decode(np.frombuffer(p, "<i4")) == t for p, t in zip(packed, texts)]
+            lengths = np.array([len(p or b"") // 4 for p in packed], np.int64)
+            ends = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
+            nulls = pa.array(np.array([p is None for p in packed], bool))
+            ids = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(p or b"" for p in packed), "<i4")), mask=nulls)
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), ids, pa.array(lengths), pa.array(parity, pa.bool_()), pa.array(same, pa.bool_())], [*keep, *added])
 
     base = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").cast("string").alias("_encoded"))
     schema = T.StructType([*base.schema.fields[:-1], *T._parse_datatype_string("ids array<int>, n_tokens long, parity boolean, round_trip boolean").fields])

@@ -37,6 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillgraph.llm.common import parts
 from quillgraph.session import written
 
 SEED = 42
@@ -53,13 +54,13 @@ TILE = 1 << 22
 
 def shingle_hashes(text: bytes | None, words: int) -> np.ndarray:
     """XXH64 of every shingle of ``words`` words, repeats included."""
-    parts = (text or b"").lower().split()  # bytes: A-Z only, the six ASCII white-space characters
-    if not parts:
+    found = (text or b"").lower().split()  # bytes: A-Z only, the six ASCII white-space characters
+    if not found:
         return np.zeros(0, np.uint64)
-    line = b" ".join(parts)
-    if len(parts) <= words:
+    line = b" ".join(found)
+    if len(found) <= words:
         return np.array([xxhash.xxh64_intdigest(line, SEED)], np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1)
+    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1)
     starts = np.concatenate([[0], ends[:-words]])
     digest = xxhash.xxh64_digest
     return np.frombuffer(b"".join([digest(line[a:b], SEED) for a, b in zip(starts.tolist(), (ends[words - 1 :] - 1).tolist())]), ">u8").astype(np.uint64)
@@ -79,7 +80,7 @@ def with_fingerprint(docs: DataFrame, words: int, text: str, columns: list[str],
     """``columns`` of ``docs`` and the fingerprint as a signed 64-bit number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches, "_shingled"):
             prints = np.array([fingerprint(t, words) for t in batch.column(batch.num_columns - 1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(prints.view(np.int64))], [*columns, name])
 

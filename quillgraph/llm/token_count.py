@@ -29,7 +29,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE_WORDS = 1 << 20
+from quillgraph.llm.common import parts
+
+CACHE_WORDS = 1 << 19
 #: Unicode white space; the pattern language's own \s differs between engines.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
@@ -124,11 +126,11 @@ class Counter:
     def count(self, text: str | None) -> int:
         if not text:
             return 0
-        found, parts = 0, [text]
+        found, pieces = 0, [text]
         if self.special and "<" in text:
-            parts = self.special.split(text)
-            found = len(parts) - 1
-        for part in parts:
+            pieces = self.special.split(text)
+            found = len(pieces) - 1
+        for part in pieces:
             for step in self.normal:
                 part = step(part)
             if self.prefix and part and part[0] != " ":
@@ -181,7 +183,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 2048, doc_id: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = load(vocabulary)
-        for batch in batches:
+        for batch in parts(batches, "text"):
             counts = [counter.count(t) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
