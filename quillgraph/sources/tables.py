@@ -22,7 +22,7 @@ def cached(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> Dat
 
 def filled(rows: DataFrame, labels: DataFrame, key: str = "uri", label: str = "label") -> DataFrame:
     """``rows`` with labels that are missing taken from a table (uri, label)."""
-    other = labels.groupBy("uri").agg(F.min("label").alias("_label"))
-    found = rows.join(other, F.col(key) == other["uri"], "left").drop(other["uri"])
+    other = labels.groupBy(F.col("uri").alias("_uri")).agg(F.min("label").alias("_label"))
+    found = rows.join(other, F.col(key) == F.col("_uri"), "left").drop("_uri")
     has = F.col(label) if label in rows.columns else F.lit(None).cast("string")
     return found.withColumn(label, F.coalesce(has, "_label")).drop("_label")
