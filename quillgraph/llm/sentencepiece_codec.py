@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers
 
-from quillgraph.llm.common import parts
+from quillgraph.llm.common import parts, release
 
 MARK = "▁"
 #: Chunks a worker remembers; beyond that it starts anew.
@@ -173,6 +173,9 @@ class Codec:
             theirs = self._reference(part)
             self.known.update((c, struct.pack(f"<{len(a)}i", *a)) for c, a in zip(names, ours))
             self.differ.update(c for c, a, b in zip(names, ours, theirs) if a != b)
+            del ours, theirs
+        if len(new) > 1 << 12:
+            release()  # what the encoding threads have left
 
     def _reference(self, chunks: list[str]) -> list[list[int]]:
         """The model's own library on chunks; its dummy prefix stands for one leading marker."""
