@@ -10,7 +10,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -34,10 +33,6 @@ def projection(df: DataFrame, columns: dict[str, str], kinds: dict[str, str]) ->
     return df.select(*(F.col(f"`{columns[k]}`").cast(kinds[k]).alias(k) for k in kinds))
 
 
-def struct(**kinds: str) -> T.StructType:
-    return T.StructType([T.StructField(k, T.DataType.fromDDL(v)) for k, v in kinds.items()])
-
-
 def parts(batches: Iterator[pa.RecordBatch], column: str | int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Batches cut into parts with about ``most`` bytes in one column, a row at least.
 
