@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillgraph.functions import vocabulary
 from quillgraph.functions.text import any_word, mapped
 from quillgraph.schemas import LITERAL, NAMESPACE, OWL, RDF, RDFS, SKOS, URI, WD, WDT, XSD
+from quillgraph.session import small
 
 SCORE = "decimal(4,3)"
 
@@ -80,14 +81,14 @@ def label_search(properties: DataFrame, keywords: DataFrame, k: int = vocabulary
 
     ``properties``: pid, label, lang. ``keywords``: name, keyword, few by nature.
     """
-    hits = F.broadcast(keywords).join(properties.where("lang = 'en'"), F.contains(F.lower("label"), F.lower("keyword")))
+    hits = small(keywords).join(properties.where("lang = 'en'"), F.contains(F.lower("label"), F.lower("keyword")))
     rank = F.row_number().over(Window.partitionBy("name").orderBy("pid"))
     return hits.select("name", "pid").distinct().withColumn("_n", rank).where(F.col("_n") <= k).drop("_n")
 
 
 def triple_validation(claims: DataFrame, properties: DataFrame, known: DataFrame) -> DataFrame:
     """name, pid: properties that link a known pair. ``claims``: s, p, o; ``properties`` also has direct, the predicate in claims."""
-    hit = claims.join(F.broadcast(known), (F.col("s") == F.col("subject")) & (F.col("o") == F.col("object")))
+    hit = claims.join(small(known), (F.col("s") == F.col("subject")) & (F.col("o") == F.col("object")))
     return hit.join(properties.where("lang = 'en'"), F.col("p") == F.col("direct")).select("name", "pid").distinct()
 
 

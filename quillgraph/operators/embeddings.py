@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillgraph.functions import vocabulary
 from quillgraph.functions.text import local_name
 from quillgraph.schemas import NAMESPACE, RDF, WDT
+from quillgraph.session import small
 
 #: Vectors (rows) up to which an entity table is broadcast.
 BROADCAST_ROWS = 200_000
@@ -99,9 +100,7 @@ def filtered_ranks(model: str, test: DataFrame, known: DataFrame, entities: Data
     counts is found by a join and taken off, so no pair is checked against them
     one by one. The entities are broadcast only up to a checked number.
     """
-    small = entities.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    every = entities.select(F.col("id").alias("e"), F.col("v").alias("ev"))
-    every = F.broadcast(every) if small else every
+    every = small(entities.select(F.col("id").alias("e"), F.col("v").alias("ev")), BROADCAST_ROWS)
     out = None
     truth = known.select("s", "p", "o").distinct()
     for side, end, other, vec in (("tail", "o", "s", "h"), ("head", "s", "o", "t")):
@@ -144,7 +143,7 @@ def negatives(triples: DataFrame, entities: DataFrame, per: int = 256, seed: int
     """s, p, o, k: ``per`` corruptions of each triple, the end by the relation's probability, the entity by hash. Entities: id from 0 without gaps."""
     n = entities.count()
     draw = lambda salt: F.pmod(F.xxhash64("s", "p", "o", "k", F.lit(seed), F.lit(salt)), F.lit(1 << 30)) / F.lit(1 << 30)
-    x = triples.select("s", "p", "o").join(F.broadcast(bernoulli_stats(triples).select("p", "head_probability")), "p").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(per - 1))))
+    x = triples.select("s", "p", "o").join(small(bernoulli_stats(triples).select("p", "head_probability")), "p").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(per - 1))))
     head, other = draw("side") < F.col("head_probability"), F.floor(draw("entity") * n).cast("long")
     return x.select(F.when(head, other).otherwise(F.col("s")).alias("s"), "p", F.when(head, F.col("o")).otherwise(other).alias("o"), "k")
 
@@ -165,12 +164,12 @@ def cosine(a: Column, b: Column) -> Column:
 def nearest(anchors: DataFrame, entities: DataFrame, k: int = 10) -> DataFrame:
     """anchor, rank, id, similarity: the k nearest by cosine, the anchor itself left out.
 
-    Anchors are few and broadcast; vectors are scaled to length one once, so a
+    Anchors are broadcast if they are few; vectors are scaled to length one once, so a
     pair costs one product. ``anchors`` may have ``exclude``, an array of ids.
     """
     a = anchors.select(F.col("id").alias("anchor"), normalised(F.col("v")).alias("av"), F.col("exclude") if "exclude" in anchors.columns else F.array(F.col("id")).alias("exclude"))
     e = entities.select("id", normalised(F.col("v")).alias("ev"))
-    x = e.crossJoin(F.broadcast(a)).where(~F.array_contains("exclude", F.col("id"))).select("anchor", "id", _dot(F.col("av"), F.col("ev")).alias("similarity"))
+    x = e.crossJoin(small(a)).where(~F.array_contains("exclude", F.col("id"))).select("anchor", "id", _dot(F.col("av"), F.col("ev")).alias("similarity"))
     rank = F.row_number().over(Window.partitionBy("anchor").orderBy(F.col("similarity").desc(), "id"))
     return x.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -179,14 +178,14 @@ def anchor_matrix(anchors: DataFrame) -> DataFrame:
     """a, b, similarity for all pairs of the anchors."""
     a = anchors.select(F.col("id").alias("a"), F.col("v").alias("av"))
     b = anchors.select(F.col("id").alias("b"), F.col("v").alias("bv"))
-    return a.crossJoin(F.broadcast(b)).select("a", "b", cosine(F.col("av"), F.col("bv")).alias("similarity"))
+    return a.crossJoin(small(b)).select("a", "b", cosine(F.col("av"), F.col("bv")).alias("similarity"))
 
 
 def analogy(start: DataFrame, steps: list[DataFrame], entities: DataFrame, target: int, k: int = 10) -> DataFrame:
     """rank, id, similarity, hit: neighbours of v(start) + v(step) + ..., start left out."""
     x = start.select("id", "v")
     for step in steps:
-        x = x.crossJoin(F.broadcast(step.select(F.col("v").alias("_r")))).select("id", _add(F.col("v"), F.col("_r")).alias("v"))
+        x = x.crossJoin(small(step.select(F.col("v").alias("_r")))).select("id", _add(F.col("v"), F.col("_r")).alias("v"))
     return nearest(x, entities, k).select("rank", "id", "similarity", (F.col("id") == target).alias("hit"))
 
 

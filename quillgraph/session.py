@@ -9,6 +9,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(app: str = "quillgraph", cores: int | None = None) -> SparkSession:
@@ -55,6 +56,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, rows: int = 10_000) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most so many rows; otherwise as it is, for the planner to choose."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 _WRITTEN: list[str] = []
 
 
