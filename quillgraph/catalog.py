@@ -299,7 +299,7 @@ def entity_triples(spark, sf_dir):
 
 # a sentence per order line; suppliers as firms, parts as companies, nations as places
 def _deals(spark, sf_dir):
-    l = t(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 0").join(t(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(t(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))  # noqa: E741
+    l = t(spark, sf_dir, "lineitem").join(t(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(t(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))  # noqa: E741
     l = l.join(t(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))  # noqa: E741
     verb = F.when(F.col("l_linenumber") % 2 == 0, " Invested in ").otherwise(" met ")
     sentence = F.concat("s_name", verb, "p_name", F.when(F.col("l_linenumber") % 3 == 0, F.concat(F.lit(" and is based in "), "n_name")).otherwise(""))
