@@ -638,7 +638,7 @@ ranks AS (SELECT side, s, p, o, 1 + count_if(score > true) AS optimistic, 1 + co
 
 def _ranks(spark, sf_dir):
     e, r, triples = _space(spark, sf_dir)
-    return embeddings.filtered_ranks("TransE", triples.where("s < 20"), triples, e, r, 64)
+    return embeddings.filtered_ranks("TransE", triples, triples, e, r, 64)
 
 
 @query("filtered_ranks", f"WITH {SPACE}, {RANKS} SELECT side, s, p, o, optimistic::BIGINT AS optimistic, pessimistic::BIGINT AS pessimistic, realistic::DOUBLE AS realistic FROM ranks")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +16,8 @@ from quillgraph.session import small
 
 #: Vectors (rows) up to which an entity table is broadcast.
 BROADCAST_ROWS = 200_000
+#: Entities that are compared with a query at a time.
+ENTITY_BLOCK = 8_192
 
 
 def _sum(x: Column) -> Column:
@@ -93,23 +99,79 @@ def vectors_of(triples: DataFrame, entities: DataFrame, relations: DataFrame) ->
     return triples.join(e("s", "h"), "s").join(e("o", "t"), "o").join(relations.select(F.col("id").alias("p"), F.col("v").alias("r")), "p")
 
 
+def _columns(entities: DataFrame) -> tuple:
+    """Broadcasts of the ids and of the vectors' transpose, or None twice if there are more than ``BROADCAST_ROWS``."""
+    if entities.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        return None, None
+    found = entities.select("id", F.transform("v", lambda x: x.cast("double")).alias("v")).toArrow()
+    vectors = found["v"].combine_chunks()
+    flat = vectors.flatten().to_numpy(zero_copy_only=False)
+    context = entities.sparkSession.sparkContext
+    return context.broadcast(found["id"].to_numpy()), context.broadcast(np.ascontiguousarray(flat.reshape(len(found), -1).T))
+
+
+def _counted(model: str, queries: DataFrame, end: str, ids, columns, p: int) -> DataFrame:
+    """s, p, o, better, equal: entities but the one in ``end`` that score above ``true``, or the same.
+
+    Numbers are added in the vectors' order, as ``match`` does, so equal scores are equal here, too.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e, width = columns.value, min(ENTITY_BLOCK, max(1, len(ids.value)))
+        total, step = np.empty(width), np.empty(width)
+        place = {x: k for k, x in enumerate(ids.value.tolist())}
+        for batch in batches:
+            hidden = [place[x] for x in batch.column(f"_{end}").to_pylist()]
+            better, equal = np.zeros(len(hidden), np.int64), np.zeros(len(hidden), np.int64)
+            for a in range(0, e.shape[1], width):
+                block = e[:, a : a + width]
+                acc, x = total[: block.shape[1]], step[: block.shape[1]]
+                for k, (q, true) in enumerate(zip(batch.column("q").to_pylist(), batch.column("true").to_pylist())):
+                    acc[:] = 0.0
+                    for d, y in enumerate(q):
+                        if model in ("TransE", "RotatE"):
+                            np.subtract(y, block[d], out=x)
+                            np.abs(x, out=x) if model == "TransE" and p == 1 else np.multiply(x, x, out=x)
+                        else:
+                            np.multiply(y, block[d], out=x)
+                        acc += x
+                    if model == "RotatE" or (model == "TransE" and p != 1):
+                        np.sqrt(acc, out=acc)
+                    if model in ("TransE", "RotatE"):
+                        np.negative(acc, out=acc)
+                    if a <= hidden[k] < a + len(acc):
+                        acc[hidden[k] - a] = -np.inf  # the end itself is not its own rival
+                    better[k] += np.count_nonzero(acc > true)
+                    equal[k] += np.count_nonzero(acc == true)
+            yield pa.RecordBatch.from_arrays([*(batch.column(f"_{c}") for c in "spo"), pa.array(better), pa.array(equal)], ["s", "p", "o", "better", "equal"])
+
+    base = queries.select(*(F.col(c).cast("long").alias(f"_{c}") for c in "spo"), "q", "true")
+    spark = queries.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return base.repartition(4 * tasks).mapInArrow(run, "s long, p long, o long, better long, equal long")
+
+
 def filtered_ranks(model: str, test: DataFrame, known: DataFrame, entities: DataFrame, relations: DataFrame, n: int, p: int = 1) -> DataFrame:
     """s, p, o, side, optimistic, pessimistic, realistic for each test triple and side.
 
-    All entities are compared with each query; what known triples add to the
-    counts is found by a join and taken off, so no pair is checked against them
-    one by one. The entities are broadcast only up to a checked number.
+    All entities are compared with each query, in blocks by NumPy; what known
+    triples add to the counts is found by a join and taken off, so no pair is
+    checked against them one by one. The entities are broadcast only up to a
+    checked number; beyond it pairs are joined.
     """
-    every = small(entities.select(F.col("id").alias("e"), F.col("v").alias("ev")), BROADCAST_ROWS)
+    ids, columns = _columns(entities)
     out = None
     truth = known.select("s", "p", "o").distinct()
     for side, end, other, vec in (("tail", "o", "s", "h"), ("head", "s", "o", "t")):
         x = vectors_of(test.select("s", "p", "o").distinct(), entities, relations)
         x = x.select("s", "p", "o", query_vector(model, side, F.col(vec), F.col("r"), n).alias("q"), F.col("t" if side == "tail" else "h").alias("own"))
         x = x.withColumn("true", match(model, F.col("q"), F.col("own"), p)).drop("own")
-        scored = x.crossJoin(every).withColumn("score", match(model, F.col("q"), F.col("ev"), p)).where(F.col("e") != F.col(end))
         better, equal = F.count_if(F.col("score") > F.col("true")), F.count_if(F.col("score") == F.col("true"))
-        counts = scored.groupBy("s", "p", "o").agg(better.alias("better"), equal.alias("equal"))
+        if ids is None:
+            scored = x.crossJoin(entities.select(F.col("id").alias("e"), F.col("v").alias("ev"))).withColumn("score", match(model, F.col("q"), F.col("ev"), p)).where(F.col("e") != F.col(end))
+            counts = scored.groupBy("s", "p", "o").agg(better.alias("better"), equal.alias("equal"))
+        else:
+            counts = _counted(model, x, end, ids, columns, p)
         facts = truth.select(F.col(other).alias(f"_{other}"), F.col("p").alias("_p"), F.col(end).alias("fact"))
         hits = x.join(facts, (F.col(other) == F.col(f"_{other}")) & (F.col("p") == F.col("_p")) & (F.col("fact") != F.col(end)))
         hits = hits.join(entities.select(F.col("id").alias("fact"), F.col("v").alias("ev")), "fact").withColumn("score", match(model, F.col("q"), F.col("ev"), p))
