@@ -730,8 +730,8 @@ def plane(spark, sf_dir):
 
 @query("train_transe")
 def train_transe(spark, sf_dir):
-    """Nations and regions, a few epochs: entity vectors."""
-    x = written(bridge.edges(spark, sf_dir).where(F.col("p") == NS + "inRegion"), "train")
+    """All links, a few epochs: entity vectors."""
+    x = written(bridge.edges(spark, sf_dir), "train")
     e, r = ts.entity_ids(x), ts.relation_ids(x)
     config = trainer.Config("TransE", dim=16, epochs=3, batch=8, negatives=4, rate=0.05, loss="nssa", margin=3.0)
     params, _, _ = trainer.train(ts.encode(x, e, r), config, e.count(), r.count(), partitions=2)

@@ -193,7 +193,11 @@ def train_locally(triples: np.ndarray, config: Config, entities: int, relations:
 
 def tables(spark: SparkSession, params: dict[str, np.ndarray]) -> tuple[DataFrame, DataFrame]:
     """Embedding tables (id, v) of entities and relations, to be written as a checkpoint."""
-    make = lambda x: spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, v array<double>")
+
+    def make(x: np.ndarray) -> DataFrame:
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1], pa.int32()), pa.array(x.ravel()))
+        return spark.createDataFrame(pa.table({"id": pa.array(np.arange(len(x))), "v": lists}), "id long, v array<double>")
+
     return make(params["e"]), make(params["r"])
 
 

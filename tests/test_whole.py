@@ -9,7 +9,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from quillgraph import catalog
+from quillgraph import bridge, catalog
 
 FOLDER = "/root/testdata/sf0.001"
 PARTS = (" WHERE l_orderkey % 10 = 0", " WHERE s < 20")
@@ -34,3 +34,10 @@ def test_whole_table(spark, db, name):
     assert columns == sorted(want.columns)
     order = lambda x: sorted(map(tuple, x[columns].astype(str).values.tolist()))
     assert order(got) == order(want)
+
+
+def test_every_node_gets_a_vector(spark):
+    links = bridge.edges(spark, FOLDER).collect()
+    got = catalog.queries()["train_transe"](spark, FOLDER).collect()
+    assert sorted(r.uri for r in got) == sorted({x for r in links for x in (r.s, r.o)})
+    assert all(len(r.v) == 16 for r in got)
