@@ -28,7 +28,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         link(t("supplier"), uri("Supplier", "s_suppkey"), "inNation", uri("Nation", "s_nationkey")),
         link(t("nation"), uri("Nation", "n_nationkey"), "inRegion", uri("Region", "n_regionkey")),
         link(t("orders"), uri("Order", "o_orderkey"), "placedBy", uri("Customer", "o_custkey")),
-        link(lines.where("l_linenumber = 1").select("l_orderkey", "l_partkey").distinct(), uri("Order", "l_orderkey"), "contains", uri("Part", "l_partkey")),
+        link(lines.select("l_orderkey", "l_partkey").distinct(), uri("Order", "l_orderkey"), "contains", uri("Part", "l_partkey")),
         link(lines.select("l_suppkey", "l_partkey").distinct(), uri("Supplier", "l_suppkey"), "supplies", uri("Part", "l_partkey")),
     ]
     return reduce(DataFrame.unionByName, parts)

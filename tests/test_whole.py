@@ -12,7 +12,7 @@ import pytest
 from quillgraph import bridge, catalog
 
 FOLDER = "/root/testdata/sf0.001"
-PARTS = (" WHERE l_orderkey % 10 = 0", " WHERE s < 20")
+PARTS = (" WHERE l_orderkey % 10 = 0", " WHERE s < 20", " WHERE l_linenumber = 1")
 CUT = [n for n, sql in catalog.oracle_sql().items() if any(x in sql for x in PARTS)]
 
 
@@ -41,3 +41,16 @@ def test_every_node_gets_a_vector(spark):
     got = catalog.queries()["train_transe"](spark, FOLDER).collect()
     assert sorted(r.uri for r in got) == sorted({x for r in links for x in (r.s, r.o)})
     assert all(len(r.v) == 16 for r in got)
+
+
+def test_a_part_on_a_later_line_is_contained(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    for f in Path(FOLDER).glob("*.parquet"):
+        if f.stem != "lineitem":
+            (tmp_path / f.name).symlink_to(f)
+    lines = spark.read.parquet(f"{FOLDER}/lineitem.parquet").limit(1)
+    two = lines.withColumns({"l_orderkey": F.lit(1).cast("long"), "l_partkey": F.explode(F.array(*(F.lit(k).cast("long") for k in (1, 2, 2))))})
+    two.withColumn("l_linenumber", F.when(F.col("l_partkey") == 1, 1).otherwise(2)).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = [r.o.rsplit("#")[-1] for r in bridge.edges(spark, str(tmp_path)).where("p like '%contains'").collect()]
+    assert sorted(got) == ["Part1", "Part2"]
