@@ -54,3 +54,11 @@ def test_a_part_on_a_later_line_is_contained(spark, tmp_path):
     two.withColumn("l_linenumber", F.when(F.col("l_partkey") == 1, 1).otherwise(2)).write.parquet(f"{tmp_path}/lineitem.parquet")
     got = [r.o.rsplit("#")[-1] for r in bridge.edges(spark, str(tmp_path)).where("p like '%contains'").collect()]
     assert sorted(got) == ["Part1", "Part2"]
+
+
+def test_turtle_holds_the_whole_graph(spark):
+    from quillgraph.sources import turtle
+
+    text = "".join(r.value for r in catalog.queries()["turtle_lines"](spark, FOLDER).collect())
+    want = {tuple(r) for r in bridge.triples(spark, FOLDER).select("s", "p", "o", "o_kind", "o_lang", "o_dtype").collect()}
+    assert set(turtle.parse_turtle(text)) == want
