@@ -1,6 +1,7 @@
 """License scans by conditional compression.
 
-Blocks of a text that a licence's wording might be (see ``blocks``) are
+Blocks of a text that a licence's wording might be (see ``blocks`` and
+``windows``) are
 compressed with Zstandard twice: alone, and with each template as a raw
 dictionary. The more a template's wording is the block's, the smaller the second
 result. Templates are ranked by the share of the size that they save; the best
@@ -17,9 +18,12 @@ from __future__ import annotations
 
 import difflib
 import re
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -154,12 +158,66 @@ def blocks(text: str) -> Iterator[tuple[int, int]]:
                     yield spots[first][0], spots[last][1]
 
 
+@cache
+def _vocabulary() -> tuple[dict[str, int], np.ndarray]:
+    """Numbers of the templates' words, and which template (column) has which word; the last row is for other words."""
+    known = {w: k for k, w in enumerate(sorted({w for _, t, _ in _prepared() for w in t}))}
+    held = np.zeros((len(known) + 1, len(_prepared())), np.int32)
+    for k, (_, t, _) in enumerate(_prepared()):
+        held[[known[w] for w in t], k] = 1
+    return known, held
+
+
+def windows(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of word windows around each cue, as long as a template, at every offset.
+
+    Left out are only those that differ from every template of their length by too
+    many words in any order, which ``scan`` could not confirm.
+    """
+    spots = [m.span() for m in WORDS.finditer(text)]
+    if not spots:
+        return
+    known, held = _vocabulary()
+    ends, most = [b for _, b in spots], max(len(t) for _, t, _ in _prepared())
+    cues = sorted({min(bisect_right(ends, m.start()), len(spots) - 1) for m in CUES.finditer(text)})
+    near = [(max(0, c - most + 1), min(len(spots), c + most)) for c in cues]
+    regions: list[list[int]] = []
+    for a, b in near:
+        if regions and a <= regions[-1][1]:
+            regions[-1][1] = b
+        else:
+            regions.append([a, b])
+    found = set()
+    for a, b in regions:
+        said = [text[x:y].lower() for x, y in spots[a:b]]
+        totals = np.zeros((b - a + 1, held.shape[1]), np.int32)
+        np.cumsum(held[[known.get(w, len(known)) for w in said]], axis=0, out=totals[1:])
+        marks = np.zeros(b - a + 1, np.int32)
+        marks[[c - a + 1 for c in cues if a <= c < b]] = 1
+        marks = np.cumsum(marks)
+        for k, (_, template, _) in enumerate(_prepared()):
+            n, least = len(template), len(template) - TOLERANCE * len(template)
+            if n > b - a:
+                continue
+            good = (totals[n:, k] - totals[:-n, k] >= least) & (marks[n:] > marks[:-n])
+            for i in np.flatnonzero(good).tolist():
+                if (Counter(said[i : i + n]) & _counted()[k]).total() >= least:
+                    found.add((spots[a + i][0], spots[a + i + n - 1][1]))
+    yield from sorted(found)
+
+
+@cache
+def _counted() -> list[Counter]:
+    return [Counter(t) for _, t, _ in _prepared()]
+
+
 def scan(text: str | None) -> list[dict]:
     """The licences that a text states, in order of place."""
     if not text or not CUES.search(text):
         return []
     found = []
-    for start, end in dict.fromkeys(blocks(text)):
+    whole = dict.fromkeys(blocks(text))
+    for start, end in [*whole, *(w for w in windows(text) if w not in whole)]:
         block = words(text[start:end])
         if not block:
             continue
@@ -172,9 +230,9 @@ def scan(text: str | None) -> list[dict]:
                     tried.append((n, -saving, name, pairs, len(template)))
         if tried:
             n, saving, name, pairs, size = min(tried)
-            found.append({"start": start, "end": end, "license": name, "saving": -saving, "differing": n, "differences": pairs, "size": size})
+            found.append({"start": start, "end": end, "license": name, "saving": -saving, "differing": n, "differences": pairs, "size": size, "inside": (start, end) not in whole})
     kept: list[dict] = []
-    for f in sorted(found, key=lambda f: (f["differing"] - f["size"], f["end"] - f["start"], f["start"])):  # most words explained first, then the tightest
+    for f in sorted(found, key=lambda f: (f["differing"] - f["size"], f["inside"], f["end"] - f["start"], f["start"])):  # most words explained first, then whole segments, then the tightest
         if all(f["end"] <= g["start"] or f["start"] >= g["end"] for g in kept):
             kept.append(f)
     return sorted(kept, key=lambda f: f["start"])

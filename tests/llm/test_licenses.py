@@ -58,3 +58,33 @@ def test_rows(spark):
     found = L.scan_licenses(df).collect()
     assert sorted((r.doc_id or -1, r.license, r.exact) for r in found) == [(-1, "MIT", True), (3, "MIT", True), (3, "MIT", True)]
     assert L.scan_licenses(df.limit(0)).count() == 0
+
+
+def every_window(text):
+    """The template that explains most of any word window of its length, from brute force."""
+    said, best = L.words(text), (0, None)
+    for name, template in L.TEMPLATES:
+        t = L.words(template)
+        for i in range(len(said) - len(t) + 1):
+            n = L.differing(L.differences(said[i : i + len(t)], t))
+            if n <= L.TOLERANCE * len(t):
+                best = max(best, (len(t) - n, name), key=lambda x: x[0])
+    return best[1]
+
+
+def test_notices_inside_sentences():
+    (found,) = L.scan("Code here is Licensed under CC BY 4.0 unless noted otherwise")
+    assert found["license"] == "CC-BY-4.0" and not found["differing"]
+    rng = random.Random(3)
+    filler = lambda n: " ".join(rng.choice("amber birch cedar delta ember".split()) for _ in range(n))
+    for name, template in L.TEMPLATES:
+        text = f"{filler(5)} {template.rstrip('.')} {filler(7)}"
+        assert [f["license"] for f in L.scan(text)] == [every_window(text)] == [name], text
+
+
+def test_head_in_narrow_lines():
+    for name, template in L.TEMPLATES:
+        w = template.split(" ")
+        lines = "\n".join(" ".join(w[k : k + 4]) for k in range(0, len(w), 4))
+        (found,) = L.scan(f"amber birch\n{lines}\ncedar delta")
+        assert found["license"] == name and found["differing"] == 0, lines
