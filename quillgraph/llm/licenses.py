@@ -54,10 +54,29 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
         "provided that the above copyright notice and this permission notice appear in all copies.",
     ),
+    (
+        "BSD-2-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer "
+        "in the documentation and/or other materials provided with the distribution.",
+    ),
     (
         "BSD-3-Clause",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
-        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer "
+        "in the documentation and/or other materials provided with the distribution. "
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    ),
+    (
+        "BSD-4-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer "
+        "in the documentation and/or other materials provided with the distribution. "
+        "All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by the organization. "
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     ),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     (
@@ -76,6 +95,24 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
         "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by "
         "the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ),
+    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    (
+        "LGPL-2.1",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by "
+        "the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    ),
+    (
+        "LGPL-2.0",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Library General Public License as published by "
+        "the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    ),
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    (
+        "AGPL-3.0",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by "
+        "the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
     (
         "MPL-2.0",
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, "
@@ -84,9 +121,15 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
+    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
+    ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-ND-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
@@ -98,6 +141,12 @@ SEGMENT = re.compile(r"[^\n]*?(?:[.!?:;](?=\s)|\n|$)", re.S)
 #: Share of words that may differ, templates looked at for each block, and the least saving worth a look.
 TOLERANCE, CONFIRMED, LEAST_SAVING = 0.15, 3, 0.3
 
+#: Words that tell licences apart: where one of them differs, a template is not confirmed.
+TELLING = frozenset(
+    "affero lesser nc nd sa noncommercial noderivatives noderivs sharealike commercial derivatives derivs apache mit isc bsd mozilla mpl gpl lgpl agpl gnu cc cc0 by attribution neither endorse advertising".split()
+)
+NUMBER = re.compile(r"v?\d+")
+
 
 def words(text: str) -> list[str]:
     return [w.lower() for w in WORDS.findall(text)]
@@ -136,6 +185,24 @@ def differing(pairs: list[tuple[str, str]]) -> int:
     return sum(max(len(a.split()), len(b.split())) for a, b in pairs)
 
 
+def telling(pairs: list[tuple[str, str]], template: list[str]) -> bool:
+    """Whether a difference is one between licences: a name, a condition or a version.
+
+    Words that are only written apart are the same. Numbers that are added to a
+    template without any are those of a list.
+    """
+    numbered = any(NUMBER.fullmatch(w) for w in template)
+    for a, b in pairs:
+        if a.replace(" ", "") == b.replace(" ", ""):
+            continue
+        both = {*a.split(), *b.split()}
+        if both & TELLING or {a, b} == {"", "library"} or {a, b} <= {"library", "lesser", "affero"}:
+            return True
+        if numbered and any(NUMBER.fullmatch(w) for w in both):
+            return True
+    return False
+
+
 def blocks(text: str) -> Iterator[tuple[int, int]]:
     """(start, end) of candidates: from a segment with a cue, or the one before it, as many as a template is long.
 
@@ -222,12 +289,18 @@ def scan(text: str | None) -> list[dict]:
         if not block:
             continue
         tried = []
-        for saving, k in savings(block)[:CONFIRMED]:
+        looked = 0
+        for saving, k in savings(block):
+            if looked == CONFIRMED or saving < LEAST_SAVING:
+                break
             name, template, _ = _prepared()[k]
-            if saving >= LEAST_SAVING:
-                pairs = differences(block, template)
-                if (n := differing(pairs)) <= TOLERANCE * len(template):
-                    tried.append((n, -saving, name, pairs, len(template)))
+            pairs = differences(block, template)
+            n = differing(pairs)
+            if n <= TOLERANCE * len(template) and telling(pairs, template):
+                continue  # a near variant takes no other template's place
+            looked += 1
+            if n <= TOLERANCE * len(template):
+                tried.append((n, -saving, name, pairs, len(template)))
         if tried:
             n, saving, name, pairs, size = min(tried)
             found.append({"start": start, "end": end, "license": name, "saving": -saving, "differing": n, "differences": pairs, "size": size, "inside": (start, end) not in whole})

@@ -88,3 +88,24 @@ def test_head_in_narrow_lines():
         lines = "\n".join(" ".join(w[k : k + 4]) for k in range(0, len(w), 4))
         (found,) = L.scan(f"amber birch\n{lines}\ncedar delta")
         assert found["license"] == name and found["differing"] == 0, lines
+
+
+def test_what_tells_licences_apart():
+    t = {}
+    for name, template in L.TEMPLATES:
+        t[name] = max(t.get(name, ""), template, key=len)
+    for kind in ("BSD-2-Clause", "BSD-3-Clause", "BSD-4-Clause"):
+        heads = [s for s in ("Redistributions of", "Redistributions in", "All advertising", "Neither the") if s in t[kind]]
+        bullets, numbers = t[kind], t[kind]
+        for k, s in enumerate(heads, 1):
+            bullets, numbers = bullets.replace(s, f"\n* {s}"), numbers.replace(s, f"\n{k}. {s}")
+        (found,) = L.scan(bullets)
+        assert (found["license"], found["differing"]) == (kind, 0)
+        (found,) = L.scan(numbers)
+        assert (found["license"], found["differing"]) == (kind, len(heads))
+    for kind in ("AGPL-3.0", "LGPL-2.1", "LGPL-2.0", "LGPL-3.0", "GPL-2.0", "GPL-3.0"):
+        assert [(f["license"], f["differing"]) for f in L.scan(t[kind])] == [(kind, 0)]
+    for kind in ("BY-ND", "BY-NC-SA", "BY-NC-ND", "BY-SA", "BY-NC", "BY"):
+        assert [(f["license"], f["differing"]) for f in L.scan(f"Licensed under CC {kind} 4.0.")] == [(f"CC-{kind}-4.0", 0)]
+    for other in ("Licensed under the Artistic License, Version 2.0.", "Licensed under the Apache License, Version 1.1.", "Licensed under CC BY-NC 3.0.", t["GPL-3.0"].replace("version 3", "version 4"), t["MPL-2.0"].replace("v. 2.0", "v. 1.1")):
+        assert L.scan(other) == [], other
