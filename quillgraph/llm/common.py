@@ -30,7 +30,36 @@ def projection(df: DataFrame, columns: dict[str, str], kinds: dict[str, str]) ->
     Further columns of the input, whatever their names, never reach an
     operator's internals, so they can't clash with what it adds.
     """
-    return df.select(*(F.col(f"`{columns[k]}`").cast(kinds[k]).alias(k) for k in kinds))
+    return positional(df).select(*(F.col(place(df, columns[k])).cast(kinds[k]).alias(k) for k in kinds))
+
+
+def positional(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named by place (c0, c1, ...), whatever they were called: nothing that is added can clash."""
+    return df.toDF(*(f"c{k}" for k in range(len(df.columns))))
+
+
+def place(df: DataFrame, name: str) -> str:
+    """What ``positional`` calls a column: of that spelling, or else the only one that differs in case alone."""
+    names = df.columns
+    found = [k for k, c in enumerate(names) if c == name] or [k for k, c in enumerate(names) if c.lower() == name.lower()]
+    if len(found) != 1:
+        raise ValueError(f"{len(found)} columns are called {name}")
+    return f"c{found[0]}"
+
+
+#: A key with more than one row in this many is joined by broadcast; there are fewer such keys than this.
+HEAVY = 1000
+
+
+def joined_evenly(rows: DataFrame, keyed: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` joined with ``keyed``, which has one row a key and in ``n`` the number of its rows among ``total``.
+
+    Keys that would fill a task of their own are fewer than ``HEAVY`` whatever the
+    input, so those are broadcast; the others are shuffled.
+    """
+    heavy = keyed.where(F.col("n") * HEAVY > total).drop("n")
+    rest = keyed.where(F.col("n") * HEAVY <= total).drop("n")
+    return rows.join(F.broadcast(heavy), key).unionByName(rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(rest, key))
 
 
 def parts(batches: Iterator[pa.RecordBatch], column: str | int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:

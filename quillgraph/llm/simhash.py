@@ -23,7 +23,7 @@ Edge cases: null and empty texts have fingerprint zero and link like any other;
 fewer words than a shingle: the whole sequence is the one shingle; equal rows
 end up in one component; a component without any non-null id has a null id; an
 empty table gives an empty result; further columns of the input are ignored or,
-in ``drop_duplicates``, passed through.
+in ``drop_duplicates``, come out as they went in, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import parts
+from quillgraph.llm.common import joined_evenly, parts, place, positional
 from quillgraph.session import written
 
 SEED = 42
@@ -233,15 +233,20 @@ def _homes(threshold: int):
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, root: the smallest node of each component, by alternating star contractions."""
+    """node, root: the smallest node of each component, by alternating star contractions.
+
+    A hub's links are spread over all tasks: see ``joined_evenly``.
+    """
     edges = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
+    lowest = [F.min("v").alias("m"), F.count("*").alias("n")]
     while True:
         around = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = around.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = around.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = written(around.groupBy("u").agg(*lowest).withColumn("m", F.least("u", "m")), "large-low")
+        large = joined_evenly(around, low, "u", 2 * edges.count()).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = written(large, "large-star")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x"))
+        low = written(large.groupBy("u").agg(*lowest), "small-low")
+        small = joined_evenly(large, low, "u", large.count())
+        small = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x"))
         small = written(small.select("x.*").where("u <> v").distinct(), "small-star")
         if _same(edges, small):
             return small.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -253,15 +258,20 @@ def _same(one: DataFrame, two: DataFrame) -> bool:
     return one.agg(*digest).first() == two.agg(*digest).first()
 
 
+def rooted(prints: DataFrame, threshold: int) -> DataFrame:
+    """``prints`` (a row per fingerprint) with root, the same for all that links connect."""
+    roots = components(links(prints, threshold)).withColumnRenamed("node", "fingerprint")
+    return prints.join(roots, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
+
+
 def clusters(rows: DataFrame, threshold: int = 2) -> DataFrame:
     """``rows`` (doc_id, fingerprint, ...) with component_id, the smallest doc_id reachable."""
-    prints = written(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "prints")
-    roots = components(links(prints, threshold))
-    member = prints.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
-    member = written(member, "simhash-members")
-    least = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = member.join(least, "root").select("fingerprint", "root", "component_id")
-    return rows.join(named, "fingerprint")
+    prints = written(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "prints")
+    found = written(rooted(prints, threshold), "simhash-members")
+    least = found.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    named = joined_evenly(found.select("fingerprint", "root", F.col("n").alias("copies")), least, "root", found.count())
+    named = written(named.select("fingerprint", "component_id", F.col("copies").alias("n")), "simhash-named")
+    return joined_evenly(rows, named, "fingerprint", rows.count())
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, threshold: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -273,15 +283,21 @@ def near_duplicates(docs: DataFrame, words: int = 3, threshold: int = 2, doc_id:
 
 
 def drop_duplicates(docs: DataFrame, words: int = 3, threshold: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of ``docs`` for each component: the smallest id, nulls last.
+    """One row of ``docs`` for each component: the smallest id, nulls last; all its columns as they are.
 
-    Only the slim rows of documents that go are joined back, by a row number
-    written beside the documents, so the texts that stay are shuffled once.
+    Only the numbers of the rows that stay are joined back, so texts are shuffled
+    once at most; columns go by their places, whatever their names.
     """
-    names = docs.columns
-    numbered = with_fingerprint(docs.withColumn("_text", F.col(f"`{text}`")), words, "_text", names, "_fingerprint")
-    numbered = written(numbered.withColumn("_row", F.monotonically_increasing_id()), "simhash-docs")
-    rows = numbered.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col("_fingerprint").alias("fingerprint"), "_row")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
-    kept = clusters(rows, threshold).groupBy("root").agg(first["_row"].alias("_row"))
-    return numbered.join(kept.select("_row"), "_row", "left_semi").select(*(F.col(f"`{c}`") for c in names))
+    inside = positional(docs)
+    numbered = with_fingerprint(inside, words, place(docs, text), inside.columns)
+    numbered = written(numbered.withColumn("row", F.monotonically_increasing_id()), "simhash-docs")
+    rows = numbered.select(F.col(place(docs, doc_id)).cast("long").alias("doc_id"), "fingerprint", "row")
+    kept = first_rows(rows, threshold)
+    return numbered.join(kept, "row", "left_semi").select(*inside.columns).toDF(*docs.columns)
+
+
+def first_rows(rows: DataFrame, threshold: int) -> DataFrame:
+    """row: of each component the one with the smallest doc_id. Copies are reduced to their fingerprint's first row before anything is joined."""
+    least = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    prints = written(rows.groupBy("fingerprint").agg(F.min(least).alias("least")), "prints")
+    return rooted(prints, threshold).groupBy("root").agg(F.min("least").alias("least")).select("least.row")
