@@ -10,8 +10,10 @@
    line that was left out fails on the fingerprint.
 3. Documents probe the arrays where they are: no line is joined or shuffled a
    second time. The index's size is known when it is written. Up to
-   ``PASS_BYTES`` it is broadcast whole; a larger one is worked off in several
-   passes over the documents, each with a group of shards within that bound.
+   ``PASS_BYTES`` it is broadcast whole. A larger one is worked off in groups of
+   shards within that bound: each document's line hashes are written once, every
+   group passes over those and gives only row numbers and the places of lines
+   that go, and the texts are read once more at the end.
 
 A key is the line stripped of ASCII white space at both ends, A-Z lower-cased.
 
@@ -19,7 +21,7 @@ Edge cases: a null text counts as one empty line and becomes an empty text;
 empty keys are never dropped; a document whose lines all go keeps its row with
 an empty text; a line repeated inside a document counts once for it; rows with
 equal or null ids count as documents of their own; an empty table gives an empty
-result. Columns other than the text pass through untouched.
+result. Columns other than the text pass through untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillgraph.llm.common import parts
+from quillgraph.llm.common import parts, place, positional
 from quillgraph.session import written
 
 #: Keys a shard aims at, and bytes of index that one pass over the documents holds.
@@ -64,7 +66,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def document_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """h1, h2, n: the number of documents for every distinct line hash."""
-    bare = docs.select(F.col(f"`{text}`").cast("string").cast("binary").alias("text"))
+    bare = positional(docs).select(F.col(place(docs, text)).cast("string").cast("binary").alias("text"))
     return bare.mapInArrow(_counted, "h1 long, h2 long, n long").groupBy("h1", "h2").agg(F.sum("n").alias("n"))
 
 
@@ -169,64 +171,98 @@ def _passes(sizes: list[tuple[int, int]]) -> list[list[int]]:
     return groups
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 10, text: str = "text", columns: list[str] | None = None) -> DataFrame:
-    """``docs`` with the lines gone whose key is in at least ``min_docs`` documents.
+def _flags(h: np.ndarray, index: dict[int, Shard], shards: int) -> np.ndarray:
+    """For every hash, whether the shards at hand hold it. An empty key never counts: it was not indexed."""
+    hit = np.zeros(len(h), bool)
+    shard = h[:, 0].view("<i8") % np.int64(shards)  # numpy's remainder is never negative
+    for s, held in index.items():
+        rows = np.flatnonzero(shard == s)
+        hit[rows] = held.probe(h[rows, 0], h[rows, 1]) > 0
+    return hit
 
-    ``columns``: the columns to keep beside the text, by default all. Two columns
-    are added, or replaced if the input has them: n_lines (before) and n_dropped.
-    """
-    spark = docs.sparkSession
-    keep = [c for c in (columns if columns is not None else docs.columns) if c not in (text, "n_lines", "n_dropped")]
-    index, shards = build_index(document_counts(docs, text), min_docs)
-    sizes = [(r.shard, r.bytes) for r in index.select("shard", "bytes").collect()]  # a row per 2**20 hashes
-    groups = _passes(sizes)
-    flow = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").cast("string").cast("binary").alias("_text"), F.lit(None).cast("binary").alias("_gone"))
-    for k, group in enumerate(groups):
-        blobs = {r.shard: bytes(r.blob) for r in index.where(F.col("shard").isin(group)).collect()} if group else {}
-        sent, final = spark.sparkContext.broadcast(blobs), k == len(groups) - 1
-        schema = T.StructType([f for f in flow.schema if f.name[:1] != "_" or f.name in keep])
-        for name, kind in (("_text", "binary"), ("_gone", "binary")) if not final else (("_text", "string"), ("_n_lines", "long"), ("_n_dropped", "long")):
-            schema = schema.add(name, kind)
-        flow = flow.mapInArrow(_probed(sent, shards, keep, final), schema)
-        if not final:
-            flow = written(flow, "line-pass")
-    names = {"_text": text, "_n_lines": "n_lines", "_n_dropped": "n_dropped"}
-    order = [c for c in docs.columns if c in keep or c == text] + ["n_lines", "n_dropped"]
-    flow = flow.withColumnsRenamed(names)
-    return flow.select(*(F.col(f"`{c}`") for c in order))
-
-
-def _probed(sent, shards: int, keep: list[str], final: bool):
+
+def _without(texts: list[bytes | None], marks: list[np.ndarray]) -> list[pa.Array]:
+    """text, n_lines, n_dropped of documents whose marked lines go."""
+    out = []
+    for text, mark in zip(texts, marks):
+        if mark.any():
+            text = b"\n".join(line for line, drop in zip(text.split(b"\n"), mark) if not drop)
+        out.append((text or b"").decode())
+    return [pa.array(out, pa.string()), pa.array([len(m) for m in marks], pa.int64()), pa.array([int(m.sum()) for m in marks], pa.int64())]
+
+
+def _in_one_pass(inside: DataFrame, text: str, keep: list[str], sent, shards: int, schema: T.StructType) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = {shard: Shard(blob) for shard, blob in sent.value.items()}
-        for batch in parts(batches, "_text"):
-            texts, gone = batch.column("_text").to_pylist(), batch.column("_gone").to_pylist()
+        index = {s: Shard(blob) for s, blob in sent.value.items()}
+        for batch in parts(batches, "bytes"):
+            texts = batch.column("bytes").to_pylist()
             keys = [line_keys(t) for t in texts]
-            flat = [k for doc in keys for k in doc]
             ids: dict[bytes, int] = {}
-            at = np.fromiter((ids.setdefault(k, len(ids)) for k in flat), np.int64, len(flat))
-            h = _halves(list(ids))
-            hit = np.zeros(len(ids), bool)
-            shard = h[:, 0].view("<i8") % np.int64(shards)  # numpy's remainder is never negative
-            for s, held in index.items():
-                rows = np.flatnonzero(shard == s)
-                hit[rows] = held.probe(h[rows, 0], h[rows, 1]) > 0
-            if b"" in ids:
-                hit[ids[b""]] = False
-            flags = hit[at].astype(np.uint8)
-            ends = np.cumsum([len(doc) for doc in keys])
-            marks = [flags[e - len(doc) : e] for e, doc in zip(ends, keys)]
-            marks = [p if g is None else p | np.frombuffer(g, np.uint8) for p, g in zip(marks, gone)]
-            columns = [batch.column(c) for c in keep]
-            if final:
-                out = []
-                for text, mark in zip(texts, marks):
-                    if mark.any():
-                        text = b"\n".join(line for line, drop in zip(text.split(b"\n"), mark) if not drop)
-                    out.append((text or b"").decode())
-                columns += [pa.array(out, pa.string()), pa.array([len(p) for p in marks], pa.int64()), pa.array([int(p.sum()) for p in marks], pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, [*keep, "_text", "_n_lines", "_n_dropped"])
-            else:
-                yield pa.RecordBatch.from_arrays([*columns, batch.column("_text"), pa.array([p.tobytes() for p in marks], pa.binary())], [*keep, "_text", "_gone"])
-
-    return run
+            at = np.fromiter((ids.setdefault(k, len(ids)) for doc in keys for k in doc), np.int64)
+            flags = _flags(_halves(list(ids)), index, shards)[at]
+            marks = np.split(flags, np.cumsum([len(doc) for doc in keys])[:-1])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *_without(texts, marks)], schema.names)
+
+    return inside.select(*keep, F.col(text).cast("string").cast("binary").alias("bytes")).mapInArrow(run, schema)
+
+
+def _in_passes(inside: DataFrame, text: str, keep: list[str], groups: list[dict], shards: int, schema: T.StructType) -> DataFrame:
+    """``groups``: of the index's rows; each is broadcast in turn."""
+    spark = inside.sparkSession
+    rows = written(inside.select(*keep, F.col(text).cast("string").cast("binary").alias("bytes"), F.monotonically_increasing_id().alias("row")), "line-rows")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches, "bytes"):
+            blobs = [_halves(line_keys(t)).tobytes() for t in batch.column("bytes").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(blobs, pa.binary())], ["row", "hashes"])
+
+    hashes = written(rows.select("bytes", "row").mapInArrow(hashed, "row long, hashes binary"), "line-hashes")
+    places = None
+    for blobs in groups:
+        sent = spark.sparkContext.broadcast(blobs())
+
+        def probed(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            index = {s: Shard(blob) for s, blob in sent.value.items()}
+            for batch in parts(batches, "hashes"):
+                found = [np.flatnonzero(_flags(np.frombuffer(b, "<u8").reshape(-1, 2), index, shards)).astype(np.int32) for b in batch.column("hashes").to_pylist()]
+                some = [k for k, x in enumerate(found) if len(x)]
+                yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(some, pa.int64())), pa.array([found[k] for k in some], pa.list_(pa.int32()))], ["row", "gone"])
+
+        pass_by = written(hashes.mapInArrow(probed, "row long, gone array<int>"), "line-places")
+        sent.unpersist()
+        places = pass_by if places is None else places.unionByName(pass_by)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches, "bytes"):
+            texts, marks = batch.column("bytes").to_pylist(), []
+            for t, gone in zip(texts, batch.column("gone").to_pylist()):
+                marks.append(np.zeros((t or b"").count(b"\n") + 1, bool))
+                marks[-1][gone or []] = True
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *_without(texts, marks)], schema.names)
+
+    gone = places.groupBy("row").agg(F.flatten(F.collect_list("gone")).alias("gone"))  # no more than a document has lines
+    return rows.join(gone, "row", "left").select(*keep, "bytes", "gone").mapInArrow(cut, schema)
+
+
+def _deduped(docs: DataFrame, min_docs: int, text: str, keep: list[str]) -> DataFrame:
+    """``keep`` (columns by place), then text, n_lines and n_dropped."""
+    inside, spark = positional(docs), docs.sparkSession
+    index, shards = build_index(document_counts(docs, text), min_docs)
+    sizes = [(r.shard, r.bytes) for r in index.select("shard", "bytes").collect()]  # a row per 2**20 hashes
+    groups = [lambda g=g: {r.shard: bytes(r.blob) for r in index.where(F.col("shard").isin(g)).collect()} if g else {} for g in _passes(sizes)]
+    schema = T.StructType([inside.schema[c] for c in keep]).add("text", "string").add("n_lines", "long").add("n_dropped", "long")
+    if len(groups) > 1:
+        return _in_passes(inside, place(docs, text), keep, groups, shards, schema)
+    return _in_one_pass(inside, place(docs, text), keep, spark.sparkContext.broadcast(groups[0]()), shards, schema)
+
+
+def dedup_lines(docs: DataFrame, columns: list[str], min_docs: int = 10, text: str = "text") -> DataFrame:
+    """``columns`` of ``docs``, then text without the lines whose key is in at least ``min_docs`` documents, n_lines (before) and n_dropped."""
+    return _deduped(docs, min_docs, text, [place(docs, c) for c in columns]).toDF(*columns, "text", "n_lines", "n_dropped")
+
+
+def without_common_lines(docs: DataFrame, min_docs: int = 10, text: str = "text") -> DataFrame:
+    """``docs`` with those lines gone from its texts; every column keeps its name and place, the others their values."""
+    inside, at = positional(docs), place(docs, text)
+    found = _deduped(docs, min_docs, text, [c for c in inside.columns if c != at])
+    return found.select(*(F.col("text" if c == at else c) for c in inside.columns)).toDF(*docs.columns)

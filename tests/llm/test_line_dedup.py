@@ -30,10 +30,12 @@ def test_against_brute_force(spark, monkeypatch, passes):
     rows = [(k % 5 or None, t, "s", 1) for k, t in enumerate(TEXTS)]
     df = spark.createDataFrame(rows, "doc_id long, text string, shard string, n_lines int")
     for least in (2, 3, 99):
-        found = L.dedup_lines(df, least)
-        assert found.columns == ["doc_id", "text", "shard", "n_lines", "n_dropped"]
+        found = L.dedup_lines(df, ["n_lines", "doc_id"], least).toDF("x", "doc_id", "text", "n_lines", "n_dropped")
         assert sorted((r.text, r.n_lines, r.n_dropped) for r in found.collect()) == sorted(brute(TEXTS, least))
-    assert L.dedup_lines(df.limit(0), 2).count() == 0
+        kept = L.without_common_lines(df, least)
+        assert kept.columns == df.columns
+        assert sorted((r.text, r.doc_id or 0, r.shard, r.n_lines) for r in kept.collect()) == sorted((t, i or 0, s, n) for (t, _, _), (i, _, s, n) in zip(brute(TEXTS, least), rows))
+    assert L.dedup_lines(df.limit(0), ["doc_id"], 2).count() == 0
 
 
 def test_index_is_minimal_and_perfect():
