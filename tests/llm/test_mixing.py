@@ -33,16 +33,11 @@ def brute(rows, weights=(5, 2, 1), most=3):
                 mine.setdefault(at, []).append(k)
                 taken[k] = whole * sizes[k]
         so_far = 0
-        for at in sorted(mine):
-            held = sum(sizes[k] for k in mine[at])
-            fits = so_far + held <= rest or abs(so_far + held - rest) < abs(rest - so_far)
-            if not fits and held:
-                break
-            for k in mine[at]:
-                taken[k] += sizes[k]
-            so_far += held
-            if so_far >= rest:
+        for k in (k for at in sorted(mine) for k in mine[at] if sizes[k]):  # of equal rows, one after the other
+            if so_far >= rest or (so_far + sizes[k] > rest and so_far + sizes[k] - rest >= rest - so_far):
                 break
+            taken[k] += sizes[k]
+            so_far += sizes[k]
     return [(i if i is not None else -1, n, total[s], round(target[s], 6), x) for (i, _, s), n, x in zip(rows, sizes, taken)]
 
 
@@ -50,6 +45,8 @@ CASES = {
     "usual": [(k, "w " * (k * 7 % 50), f"s{k % 5}") for k in range(400)],
     "hot": [(k, "w " * (k % 9 + 1), "big" if k % 3 else f"s{k % 4}") for k in range(300)],
     "odd": [(None, None, None), (None, "a b", None), (1, "a b c", "x"), (1, "a b c", "x"), (2, "", "empty"), (3, None, "empty"), (4, "w " * 30000, "long"), (5, "ü é", "É")],
+    "equal rows": [(7, "w " * 36, "a")] * 100 + [(k, "w " * 5, f"s{k % 3}") for k in range(40)] + [(8, "w w w", "s2")] * 50 + [(None, None, "s1")] * 9,
+    "only equal rows": [(7, "w " * 40, "a")] * 300 + [(1, "w", "b")] * 11,
     "one": [(1, "a b c d", "x")],
     "empty texts": [(1, "", "x"), (2, None, "y")],
 }
@@ -68,6 +65,13 @@ def test_against_brute_force(spark, name):
     assert mixed.count() == sum(r.copies for r in found)
 
 
+def test_targets_are_met_within_a_document(spark):
+    for name in ("usual", "hot", "equal rows", "only equal rows"):
+        df = spark.createDataFrame(CASES[name], "doc_id long, text string, source string").repartition(7)
+        for x in M.mix(df).groupBy("source_size", "target").agg({"taken": "sum", "size": "max"}).collect():
+            assert abs(x["sum(taken)"] - x.target) <= x["max(size)"]
+
+
 def test_budgets_are_nested(spark):
     df = spark.createDataFrame([(k, "w " * (k % 11), f"s{k % 3}") for k in range(300)], "doc_id long, text string, source string")
     small, large = ({r.doc_id: r.copies for r in M.mix(df, share=s).collect()} for s in (0.3, 0.6))
