@@ -66,7 +66,7 @@ def op8_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the lines that ten documents or more share."""
-    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), min_docs=10, columns=["doc_id"])
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), ["doc_id"], min_docs=10)
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
@@ -99,16 +99,13 @@ goals AS (
   SELECT l.source, total, least(c.level * w, cap) AS target
   FROM levels l, (SELECT arg_min(level, nth) AS level FROM levels WHERE level * w <= cap) c),
 plans AS (SELECT *, CASE WHEN total > 0 THEN least(floor(target / total), 3) ELSE 0 END AS whole FROM goals),
-held_at AS (
-  SELECT d.source, d.spot, sum(size) AS held, any_value(target - whole * total) AS rest
-  FROM docs d JOIN plans p ON d.source IS NOT DISTINCT FROM p.source WHERE size > 0 GROUP BY d.source, d.spot),
-runs AS (SELECT *, sum(held) OVER (PARTITION BY source ORDER BY spot) AS upto FROM held_at),
-bounds AS (
-  SELECT source, min(spot) AS spot, arg_min(held, spot) AS held, arg_min(upto - held, spot) AS below, any_value(rest) AS rest
-  FROM runs WHERE upto > rest AND rest > 0 GROUP BY source)
-SELECT d.doc_id, d.size, p.total::BIGINT AS source_size, p.target,
-       (d.size * (p.whole + CASE WHEN d.spot < b.spot OR (d.spot = b.spot AND abs(b.below + b.held - b.rest) < abs(b.rest - b.below)) THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM docs d JOIN plans p ON d.source IS NOT DISTINCT FROM p.source LEFT JOIN bounds b ON d.source IS NOT DISTINCT FROM b.source
+placed AS (
+  SELECT d.*, p.total, p.target, p.whole, target - whole * total AS rest,
+         sum(size) OVER (PARTITION BY d.source ORDER BY spot, nth ROWS UNBOUNDED PRECEDING) AS upto
+  FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY spot) AS nth FROM docs) d JOIN plans p ON d.source IS NOT DISTINCT FROM p.source)
+SELECT doc_id, size, total::BIGINT AS source_size, target,
+       (size * (whole + CASE WHEN rest > 0 AND (upto <= rest OR (upto - size < rest AND upto - rest < rest - (upto - size))) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM placed
 """
 
 

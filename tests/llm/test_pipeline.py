@@ -73,3 +73,24 @@ def test_odd_rows_pass_every_stage(spark):
     assert sorted((r.doc_id or -1, r.text or "") for r in kept) == sorted([(-1, ""), (7, "same text"), (7, "other text"), (8, long)])
     assert {(r.text or "")[:9] for r in P.STAGES[3][1](spark, docs, FOLDER).collect()} <= {(r[1] or "")[:9] for r in rows}
     assert P.STAGES[4][1](spark, docs, FOLDER).count() == len(rows)
+
+
+def test_columns_of_any_name_come_out_as_they_went_in(spark):
+    """Names that the operators use inside, with values of their own."""
+    extra = (
+        "_row _text _fingerprint _shingled _gone _mix_copies _mix_copy _mix_source _measured _encoded n_lines n_dropped n_tokens ids row fingerprint "
+        "at copies size rows take edge whole root least anchor salt bytes hashes gone score statistics c0 c1 c9 from part place nth k"
+    ).split()
+    texts = ["same words in two documents\nof one group"] * 2 + [f"document {k} has {k * 17} words of its own\nand a line" for k in range(12)]
+    rows = [(k, t, "en", f"s{k % 2}", len(t), *(f"{k}-{c}" for c in extra)) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in extra))
+    for name, stage in P.STAGES:
+        out = stage(spark, docs, FOLDER)
+        if name == "encode":
+            assert out.count() == len(rows)
+            continue
+        assert out.columns == docs.columns
+        found = out.collect()
+        assert found or name == "quality"
+        for r in found:
+            assert tuple(r)[5:] == rows[r.doc_id][5:]
