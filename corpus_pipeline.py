@@ -26,23 +26,28 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the classifier accepts, empty and null texts scored like any other; all columns as they are."""
     return quality.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = line_dedup.dedup_lines(docs, min_docs=10)
-    return found.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    """All documents without the lines that ten share; a null text becomes an empty one, n_chars counts what is left, other columns stay as they are."""
+    found = line_dedup.without_common_lines(docs, min_docs=10)
+    return found.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group: the smallest id, null ids last; equal rows are one group, so are null and empty texts; all columns as they are."""
     return simhash.drop_duplicates(docs, words=3, threshold=2)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as its source's target says; a null source is one of its own, of equal rows any may enter; all columns as they are."""
     return mixing.repeated(docs, weights=(5, 2, 1))
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row per document: its ids and whether they decode to its text; a null text has null ids."""
     found = sentencepiece_codec.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), columns=["doc_id", "source"])
     return found.select("doc_id", "source", "n_tokens", "parity", "round_trip", "ids")
 
