@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -31,11 +32,14 @@ def local_session(app: str = "quillgraph", cores: int | None = None) -> SparkSes
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that setting is
-    missing (tests, one-machine sessions) a temporary folder takes its place.
+    A cluster names it in ``spark.checkpoint.dir``; without that setting it is
+    refused, as its machines see no folder of the driver's. Only a session in one
+    process (tests) gets a temporary folder instead.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         own = tempfile.mkdtemp(prefix="quillgraph-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         folder = "file://" + own
