@@ -1,25 +1,28 @@
 """License scans by conditional compression.
 
-Blocks of a text that a licence's wording might be (see ``blocks`` and
-``windows``) are
+Candidates are word windows as long as a template, at every offset of the text,
+and runs of whole segments around words that notices use (see ``windows`` and
+``blocks``). A window is left out only if it shares too few words with every
+template of its length, counted with repeats, to be confirmed. Each candidate is
 compressed with Zstandard twice: alone, and with each template as a raw
-dictionary. The more a template's wording is the block's, the smaller the second
-result. Templates are ranked by the share of the size that they save; the best
-are confirmed, or not, by the exact differences between the words of block and
-template. Of blocks that overlap, the one that its template explains best stays.
-
-Edge cases: null and empty texts have no findings; all lines of texts of any
-length are looked at; each repeated row gives its own findings; ties between
-templates go by fewer differing words, then by name; an empty table gives an
-empty result; further columns of the input are ignored.
+dictionary. The more a template's wording is the candidate's, the smaller the
+second result. Templates are ranked by the share of the size that they save, and
+confirmed, or not, by the exact differences between the words: at most
+``TOLERANCE`` of them may differ, and none that tells licences apart. Of the
+confirmed the one with the fewest differences names the candidate, then the one
+that saves most. Of candidates that overlap, the one that its template explains
+best stays.
+
+Edge cases: null and empty texts have no findings; texts of any length are
+looked at whole; each repeated row gives its own findings; ties between
+templates go by name; an empty table gives an empty result; further columns of
+the input are ignored.
 """
 
 from __future__ import annotations
 
 import difflib
 import re
-from bisect import bisect_right
-from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
@@ -27,9 +30,8 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from quillgraph.llm.common import parts
+from quillgraph.llm.common import parts, projection
 
 #: Notices as the licences' own texts word them, and one-line forms in common use.
 TEMPLATES: tuple[tuple[str, str], ...] = (
@@ -42,6 +44,8 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
         "See the License for the specific language governing permissions and limitations under the License.",
     ),
     ("MIT", "Released under the MIT License."),
+    ("MIT", "Licensed under the MIT License."),
+    ("MIT", "Released under the terms of the MIT License."),
     (
         "MIT",
         'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), '
@@ -134,12 +138,12 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
 
-#: A segment with one of these starts blocks.
+#: Runs of segments start at one with such a word, or at the one before.
 CUES = re.compile(r"licen[cs]|copyright|permission|redistribut|warrant|creative commons|\bcc[ -]?(?:by|0)\b|public domain|free software|\bgpl\b|source code form", re.I)
 WORDS = re.compile(r"[^\W_]+", re.UNICODE)
 SEGMENT = re.compile(r"[^\n]*?(?:[.!?:;](?=\s)|\n|$)", re.S)
-#: Share of words that may differ, templates looked at for each block, and the least saving worth a look.
-TOLERANCE, CONFIRMED, LEAST_SAVING = 0.15, 3, 0.3
+#: Share of a template's words that may differ.
+TOLERANCE = 0.15
 
 #: Words that tell licences apart: where one of them differs, a template is not confirmed.
 TELLING = frozenset(
@@ -204,12 +208,12 @@ def telling(pairs: list[tuple[str, str]], template: list[str]) -> bool:
 
 
 def blocks(text: str) -> Iterator[tuple[int, int]]:
-    """(start, end) of candidates: from a segment with a cue, or the one before it, as many as a template is long.
+    """(start, end) of runs of segments: from a segment with a cue, or the one before it, as many as a template is long.
 
-    A segment is a line, or a part of one up to a stop.
+    A segment is a line, or a part of one up to a stop, that has words.
     """
     lengths = sorted({len(t) for _, t, _ in _prepared()})
-    spots = [m.span() for m in SEGMENT.finditer(text) if m.end() > m.start()]
+    spots = [m.span() for m in SEGMENT.finditer(text) if WORDS.search(text, *m.span())]
     counts = None
     for k, (a, b) in enumerate(spots):
         if not CUES.search(text, a, b):
@@ -227,82 +231,66 @@ def blocks(text: str) -> Iterator[tuple[int, int]]:
 
 @cache
 def _vocabulary() -> tuple[dict[str, int], np.ndarray]:
-    """Numbers of the templates' words, and which template (column) has which word; the last row is for other words."""
+    """Numbers of the templates' words, and how often each (row) is in each template (column); the last row is for other words."""
     known = {w: k for k, w in enumerate(sorted({w for _, t, _ in _prepared() for w in t}))}
-    held = np.zeros((len(known) + 1, len(_prepared())), np.int32)
+    often = np.zeros((len(known) + 1, len(_prepared())), np.int64)
     for k, (_, t, _) in enumerate(_prepared()):
-        held[[known[w] for w in t], k] = 1
-    return known, held
+        np.add.at(often[:, k], [known[w] for w in t], 1)
+    return known, often
 
 
-def windows(text: str) -> Iterator[tuple[int, int]]:
-    """(start, end) of word windows around each cue, as long as a template, at every offset.
+def least(template: list[str]) -> float:
+    """Words that a candidate must share with a template to be confirmed."""
+    return len(template) - TOLERANCE * len(template)
 
-    Left out are only those that differ from every template of their length by too
-    many words in any order, which ``scan`` could not confirm.
-    """
-    spots = [m.span() for m in WORDS.finditer(text)]
-    if not spots:
-        return
-    known, held = _vocabulary()
-    ends, most = [b for _, b in spots], max(len(t) for _, t, _ in _prepared())
-    cues = sorted({min(bisect_right(ends, m.start()), len(spots) - 1) for m in CUES.finditer(text)})
-    near = [(max(0, c - most + 1), min(len(spots), c + most)) for c in cues]
-    regions: list[list[int]] = []
-    for a, b in near:
-        if regions and a <= regions[-1][1]:
-            regions[-1][1] = b
-        else:
-            regions.append([a, b])
-    found = set()
-    for a, b in regions:
-        said = [text[x:y].lower() for x, y in spots[a:b]]
-        totals = np.zeros((b - a + 1, held.shape[1]), np.int32)
-        np.cumsum(held[[known.get(w, len(known)) for w in said]], axis=0, out=totals[1:])
-        marks = np.zeros(b - a + 1, np.int32)
-        marks[[c - a + 1 for c in cues if a <= c < b]] = 1
-        marks = np.cumsum(marks)
-        for k, (_, template, _) in enumerate(_prepared()):
-            n, least = len(template), len(template) - TOLERANCE * len(template)
-            if n > b - a:
-                continue
-            good = (totals[n:, k] - totals[:-n, k] >= least) & (marks[n:] > marks[:-n])
-            for i in np.flatnonzero(good).tolist():
-                if (Counter(said[i : i + n]) & _counted()[k]).total() >= least:
-                    found.add((spots[a + i][0], spots[a + i + n - 1][1]))
+
+def windows(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of word windows as long as a template that share enough words with it, at every offset."""
+    known, often = _vocabulary()
+    other = len(known)
+    said = np.fromiter((known.get(w.lower(), other) for w in WORDS.findall(text)), np.int64)
+    counts = np.bincount(said, minlength=other + 1)
+    shared = np.minimum(counts[:, None], often).sum(axis=0)
+    spots, found = None, set()
+    for k, (_, template, _) in enumerate(_prepared()):
+        n = len(template)
+        if shared[k] < least(template) or n > len(said):
+            continue  # not even the whole text has the words
+        inside = np.concatenate([[0], np.cumsum(often[said, k] > 0)])
+        for i in np.flatnonzero(inside[n:] - inside[:-n] >= least(template)).tolist():
+            if np.minimum(np.bincount(said[i : i + n], minlength=other + 1), often[:, k]).sum() >= least(template):
+                spots = spots or [m.span() for m in WORDS.finditer(text)]
+                found.add((spots[i][0], spots[i + n - 1][1]))
     yield from sorted(found)
 
 
-@cache
-def _counted() -> list[Counter]:
-    return [Counter(t) for _, t, _ in _prepared()]
+def confirmed(block: list[str]) -> tuple | None:
+    """(differing, -saving, name, differences, template's length) of the best template for a candidate, if any."""
+    known, often = _vocabulary()
+    counts = np.bincount([known.get(w, len(known)) for w in block], minlength=len(known) + 1)
+    shared = np.minimum(counts[:, None], often).sum(axis=0)
+    tried = []
+    for saving, k in savings(block):
+        name, template, _ = _prepared()[k]
+        if shared[k] < least(template):
+            continue  # more words differ than may
+        pairs = differences(block, template)
+        n = differing(pairs)
+        if n <= TOLERANCE * len(template) and not telling(pairs, template):
+            tried.append((n, -saving, name, pairs, len(template)))
+    return min(tried) if tried else None
 
 
 def scan(text: str | None) -> list[dict]:
     """The licences that a text states, in order of place."""
-    if not text or not CUES.search(text):
+    if not text:
         return []
     found = []
-    whole = dict.fromkeys(blocks(text))
+    whole = dict.fromkeys(blocks(text) if CUES.search(text) else ())
     for start, end in [*whole, *(w for w in windows(text) if w not in whole)]:
-        block = words(text[start:end])
-        if not block:
-            continue
-        tried = []
-        looked = 0
-        for saving, k in savings(block):
-            if looked == CONFIRMED or saving < LEAST_SAVING:
-                break
-            name, template, _ = _prepared()[k]
-            pairs = differences(block, template)
-            n = differing(pairs)
-            if n <= TOLERANCE * len(template) and telling(pairs, template):
-                continue  # a near variant takes no other template's place
-            looked += 1
-            if n <= TOLERANCE * len(template):
-                tried.append((n, -saving, name, pairs, len(template)))
-        if tried:
-            n, saving, name, pairs, size = min(tried)
+        best = confirmed(words(text[start:end]))
+        if best:
+            n, saving, name, pairs, size = best
             found.append({"start": start, "end": end, "license": name, "saving": -saving, "differing": n, "differences": pairs, "size": size, "inside": (start, end) not in whole})
     kept: list[dict] = []
     for f in sorted(found, key=lambda f: (f["differing"] - f["size"], f["inside"], f["end"] - f["start"], f["start"])):  # most words explained first, then whole segments, then the tightest
@@ -326,5 +314,5 @@ def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
             columns = zip(*rows) if rows else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
-    base = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    base = projection(docs, {"doc_id": doc_id, "text": text}, {"doc_id": "long", "text": "string"})
     return base.mapInArrow(run, "doc_id long, start long, end long, license string, saving double, differing long, exact boolean, differences string, block string")
