@@ -33,7 +33,8 @@ def recall(found, want):
 @pytest.mark.parametrize("kind", ["noise", "clusters", "copies"])
 def test_recall(spark, monkeypatch, kind):
     monkeypatch.setattr(A, "BLOCK_ROWS", 700)
-    monkeypatch.setattr(A, "CHUNK_ROWS", 30)
+    monkeypatch.setattr(A, "CHUNK_BYTES", 20 * 64 * 8)
+    monkeypatch.setattr(A, "AT_ONCE", 9)
     rng = np.random.default_rng(3)
     v = rng.normal(size=(3000, 64)).astype(np.float32)
     if kind == "clusters":
@@ -58,6 +59,13 @@ def test_rows(spark):
     assert A.search(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_huge_and_tiny_components(spark):
+    rows = [(0, [1e300, 1e300]), (1, [3e-310, 0.0]), (2, [1e300, 0.0]), (3, [1.0, 1.0]), (50, [1e-300, 2e-300])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = {(r.query_id, r.vec_id): r.score for r in A.search(df, df.where("vec_id % 50 = 0")).collect()}
+    assert len(found) == 8 and found[0, 3] == pytest.approx(1) and found[0, 1] == pytest.approx(0.5**0.5) and found[0, 2] == pytest.approx(0.5**0.5) and found[50, 0] == pytest.approx(3 / 10**0.5)
+
+
 def test_chi_square():
     assert abs(A.chi_square_cdf(A.chi_square_quantile(0.95, 8), 8) - 0.95) < 1e-9
     assert abs(A.chi_square_quantile(0.95, 8) - 15.507) < 1e-3
