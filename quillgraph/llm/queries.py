@@ -54,7 +54,7 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole document stored as lossless WebP, read back and measured."""
-    kept = written(media.stored(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "media"), "media")
+    kept = written(media.stored(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_bytes", "media"), "media")
     found = media.measured(kept)
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
