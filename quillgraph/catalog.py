@@ -66,7 +66,7 @@ EDGES = f"""edges AS (
   UNION ALL SELECT '{NS}Supplier' || s_suppkey, '{NS}inNation', '{NS}Nation' || s_nationkey FROM supplier
   UNION ALL SELECT '{NS}Nation' || n_nationkey, '{NS}inRegion', '{NS}Region' || n_regionkey FROM nation
   UNION ALL SELECT '{NS}Order' || o_orderkey, '{NS}placedBy', '{NS}Customer' || o_custkey FROM orders
-  UNION ALL SELECT DISTINCT '{NS}Order' || l_orderkey, '{NS}contains', '{NS}Part' || l_partkey FROM lineitem WHERE l_linenumber = 1
+  UNION ALL SELECT DISTINCT '{NS}Order' || l_orderkey, '{NS}contains', '{NS}Part' || l_partkey FROM lineitem
   UNION ALL SELECT DISTINCT '{NS}Supplier' || l_suppkey, '{NS}supplies', '{NS}Part' || l_partkey FROM lineitem)"""
 NAMED = f"""named AS (
   SELECT '{NS}Customer' || c_custkey AS s, '{NS}Customer' AS c, c_name AS label, c_acctbal AS balance FROM customer
@@ -311,7 +311,7 @@ def _deals(spark, sf_dir):
 
 
 DEALS = f"""rows AS (SELECT l_orderkey AS doc, l_linenumber AS pos, s_name, p_name, n_name, s_name || CASE WHEN l_linenumber % 2 = 0 THEN ' Invested in ' ELSE ' met ' END || p_name || CASE WHEN l_linenumber % 3 = 0 THEN ' and is based in ' || n_name ELSE '' END AS sentence
-  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey JOIN nation ON s_nationkey = n_nationkey WHERE l_orderkey % 10 = 0),
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey JOIN nation ON s_nationkey = n_nationkey),
 m AS (SELECT DISTINCT doc, 'VC_FIRM' AS label, s_name AS text FROM rows UNION SELECT doc, 'ORG', p_name FROM rows UNION SELECT doc, 'GPE', n_name FROM rows),
 present AS (SELECT r.doc, r.pos, r.sentence, label, text, '{NS}' || label || '/' || replace(text, ' ', '_') AS uri FROM (SELECT DISTINCT doc, pos, sentence FROM rows) r JOIN m ON r.doc = m.doc AND contains(lower(r.sentence), lower(text)) WHERE label <> 'GPE'
   QUALIFY count(*) OVER (PARTITION BY r.doc, r.pos) >= 2),
@@ -628,8 +628,8 @@ def _score(model: str, spark, sf_dir):
 for _model, _sql in _SCORES.items():
     query(f"score_{_model.lower()}", f"WITH {SPACE} SELECT s, p, o, round({_sql}, 4) + 0.0 AS score FROM x")(partial(_score, _model))
 
-RANKS = f"""q AS (SELECT 'tail' AS side, s, p, o, list_transform(list_zip(h, r), lambda z: z[1] + z[2]) AS q, t AS own, o AS hidden FROM x WHERE s < 20
-  UNION ALL SELECT 'head', s, p, o, list_transform(list_zip(t, r), lambda z: z[1] - z[2]), h, s FROM x WHERE s < 20),
+RANKS = f"""q AS (SELECT 'tail' AS side, s, p, o, list_transform(list_zip(h, r), lambda z: z[1] + z[2]) AS q, t AS own, o AS hidden FROM x
+  UNION ALL SELECT 'head', s, p, o, list_transform(list_zip(t, r), lambda z: z[1] - z[2]), h, s FROM x),
 own AS (SELECT *, {_Z.format("q, own", "-abs(z[1] - z[2])")} AS true FROM q),
 sc AS (SELECT side, own.s, own.p, own.o, true, {_Z.format("q, e.v", "-abs(z[1] - z[2])")} AS score FROM own JOIN e ON e.id <> hidden
   WHERE NOT EXISTS (FROM tr k WHERE k.p = own.p AND ((side = 'tail' AND k.s = own.s AND k.o = e.id) OR (side = 'head' AND k.o = own.o AND k.s = e.id)))),
@@ -796,7 +796,7 @@ SPARQL: dict[str, tuple[str, str]] = {
     "distinct": ("SELECT DISTINCT ?n WHERE { ?o :placedBy ?c . ?c :inNation ?n }", f"SELECT DISTINCT {U('Nation', 'c_nationkey')} AS n FROM orders JOIN customer ON o_custkey = c_custkey"),
     "optional": ('SELECT ?c ?o WHERE { ?c :inNation :Nation5 OPTIONAL { ?o :placedBy ?c . FILTER (STRENDS(STR(?o), "0")) } FILTER (CONTAINS(STR(?c), "Customer")) }', f"SELECT {U('Customer', 'c_custkey')} AS c, {U('Order', 'o_orderkey')} AS o FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderkey % 10 = 0 WHERE c_nationkey = 5"),
     "union": ("SELECT ?x WHERE { { ?x :inRegion :Region1 } UNION { ?x :inNation :Nation1 } }", f"SELECT {U('Nation', 'n_nationkey')} AS x FROM nation WHERE n_regionkey = 1 UNION ALL SELECT {U('Customer', 'c_custkey')} FROM customer WHERE c_nationkey = 1 UNION ALL SELECT {U('Supplier', 's_suppkey')} FROM supplier WHERE s_nationkey = 1"),
-    "minus": ("SELECT ?x WHERE { ?x a :Part MINUS { ?o :contains ?x } }", f"SELECT {U('Part', 'p_partkey')} AS x FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_linenumber = 1)"),
+    "minus": ("SELECT ?x WHERE { ?x a :Part MINUS { ?o :contains ?x } }", f"SELECT {U('Part', 'p_partkey')} AS x FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)"),
     "values": ("SELECT ?s ?n WHERE { VALUES ?s { :Supplier1 :Supplier2 :Supplier999999 } ?s :inNation ?n }", f"SELECT {U('Supplier', 's_suppkey')} AS s, {U('Nation', 's_nationkey')} AS n FROM supplier WHERE s_suppkey IN (1, 2)"),
     "bind": ('SELECT ?t WHERE { ?s a :Region ; rdfs:label ?l BIND (CONCAT(LCASE(?l), "!") AS ?t) }', "SELECT lower(r_name) || '!' AS t FROM region"),
     "filter_lang": ('SELECT ?s ?l WHERE { ?s a :Nation ; rdfs:label ?l FILTER (langMatches(lang(?l), "en") && lang(?l) != "en-GB") }', f"SELECT {U('Nation', 'n_nationkey')} AS s, n_name AS l FROM nation"),
@@ -811,7 +811,7 @@ SPARQL: dict[str, tuple[str, str]] = {
     "path_closure": ("SELECT ?x WHERE { :Supplier1 (:inNation|:inRegion)+ ?x }", f"SELECT {U('Nation', 's_nationkey')} AS x FROM supplier WHERE s_suppkey = 1 UNION SELECT {U('Region', 'n_regionkey')} FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey = 1"),
     "path_inverse": ("SELECT ?a ?b WHERE { ?a :inRegion/^:inRegion ?b FILTER (?a != ?b) }", f"SELECT {U('Nation', 'a.n_nationkey')} AS a, {U('Nation', 'b.n_nationkey')} AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey"),
     "subquery": ("SELECT ?c ?k WHERE { ?c :inNation :Nation4 { SELECT ?c (COUNT(?o) AS ?k) WHERE { ?o :placedBy ?c } GROUP BY ?c } }", f"SELECT {U('Customer', 'c_custkey')} AS c, count(*)::VARCHAR AS k FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_nationkey = 4 GROUP BY c_custkey"),
-    "triangle": ("SELECT ?o ?s ?p WHERE { ?o :contains ?p . ?s :supplies ?p . ?s :inNation ?n . ?o :placedBy ?c . ?c :inNation ?n }", f"WITH a AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem WHERE l_linenumber = 1), b AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem) SELECT {U('Order', 'a.o')} AS o, {U('Supplier', 'b.s')} AS s, {U('Part', 'a.p')} AS p FROM a JOIN b ON a.p = b.p JOIN supplier ON s_suppkey = b.s JOIN orders ON o_orderkey = a.o JOIN customer ON c_custkey = o_custkey AND c_nationkey = s_nationkey"),
+    "triangle": ("SELECT ?o ?s ?p WHERE { ?o :contains ?p . ?s :supplies ?p . ?s :inNation ?n . ?o :placedBy ?c . ?c :inNation ?n }", f"WITH a AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem), b AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem) SELECT {U('Order', 'a.o')} AS o, {U('Supplier', 'b.s')} AS s, {U('Part', 'a.p')} AS p FROM a JOIN b ON a.p = b.p JOIN supplier ON s_suppkey = b.s JOIN orders ON o_orderkey = a.o JOIN customer ON c_custkey = o_custkey AND c_nationkey = s_nationkey"),
 }
 
 
