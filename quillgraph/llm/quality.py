@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillgraph.llm.common import parts
+from quillgraph.llm.common import parts, place, positional
 from quillgraph.session import written
 
 FEATURES, SEED, RIDGE = 256, 11, 1e-3
@@ -223,17 +223,12 @@ def classified(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFr
 
 
 def accepted(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose score is 0.5 or more, as they are."""
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    model = fit(written(with_statistics(slim, ["doc_id"]), "quality-statistics"), labels)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    places = [f"_{k}" for k in range(len(docs.columns))]  # whatever the columns' names, even if two are alike
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts(batches, "_measured"):
-            rows = [statistics(t) for t in part.column("_measured").to_pylist()]
-            yield part.select(places).filter(pa.array(sent.value.score(np.array(rows)) >= 0.5))
-
-    inside = docs.select(*(F.col(f"`{c}`").alias(p) for p, c in zip(places, docs.columns)), F.col(f"`{text}`").cast("string").cast("binary").alias("_measured"))
-    kept = inside.mapInArrow(run, T.StructType(inside.schema.fields[:-1]))
-    return kept.select(*(F.col(p).alias(c) for p, c in zip(places, docs.columns)))
+    """The rows of ``docs`` whose score is 0.5 or more, all columns as they are, whatever their names.
+
+    The documents are measured once and written with their statistics; the model
+    reads those alone, and the rows that stay are picked from what was written.
+    """
+    inside = positional(docs)
+    measured = written(with_statistics(inside, inside.columns, place(docs, text)), "quality-documents")
+    model = fit(measured.select(F.col(place(docs, "doc_id")).cast("long").alias("doc_id"), "statistics"), labels)
+    return scored(measured, model).where("score >= 0.5").select(*inside.columns).toDF(*docs.columns)

@@ -35,11 +35,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers
 
-from quillgraph.llm.common import parts, release
+from quillgraph.llm.common import parts, place, positional, release
 
 MARK = "▁"
-#: Chunks a worker remembers; beyond that it starts anew.
-CACHE_CHUNKS = 1 << 18
+#: Characters of chunks that a worker remembers, beyond which it starts anew; a single text may exceed it while it is encoded.
+CACHE_BYTES = 4 << 20
 #: The piece types of the model format.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -145,6 +145,7 @@ class Codec:
         self.lead = MARK if m.dummy_prefix and self.chunked else ""
         self.plain = self.lead and not m.charsmap and not m.remove_extra
         self.known: dict[str, bytes] = {}
+        self.held = 0
         self.differ: set[str] = set()
         self.spelled = [bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t == CONTROL else b" \xe2\x81\x87 " if t == UNKNOWN else p.replace(MARK, " ").encode() for p, _, t in m.pieces]
 
@@ -162,9 +163,10 @@ class Codec:
 
     def learn(self, chunks: set[str]) -> None:
         """Encode what is new, on all threads, and compare it with the library of the model."""
-        if len(self.known) > CACHE_CHUNKS:
+        if self.held > CACHE_BYTES:
             self.known.clear()
             self.differ.clear()
+            self.held = 0
         new = [c for c in chunks if c not in self.known]
         for k in range(0, len(new), 1 << 13):
             names = new[k : k + (1 << 13)]
@@ -173,6 +175,7 @@ class Codec:
             theirs = self._reference(part)
             self.known.update((c, struct.pack(f"<{len(a)}i", *a)) for c, a in zip(names, ours))
             self.differ.update(c for c, a, b in zip(names, ours, theirs) if a != b)
+            self.held += sum(map(len, names)) + 8 * len(names)
             del ours, theirs
         if len(new) > 1 << 12:
             release()  # what the encoding threads have left
@@ -181,8 +184,10 @@ class Codec:
         """The model's own library on chunks; its dummy prefix stands for one leading marker."""
         prefix = " " if self.model.dummy_prefix else ""
         found = self.own.encode([c.replace(MARK, " ").removeprefix(prefix) for c in chunks], num_threads=1)
-        # a lone marker, from one space at the end of a text, can't be told from an empty text
-        return [[self.own.piece_to_id(MARK)] if prefix and c == MARK else ids for c, ids in zip(chunks, found)]
+        if prefix and MARK in chunks:  # of a space at a text's end: by itself it can't be told from an empty text
+            word, more = self.own.encode(["a", "a "])
+            found = [(more[len(word) :] if more[: len(word)] == word else None) if c == MARK else ids for c, ids in zip(chunks, found)]
+        return found
 
     def encode(self, texts: list[str | None]) -> tuple[list[bytes | None], list[bool]]:
         """Ids of every text as packed 32-bit numbers, and whether they have been found to agree."""
@@ -213,13 +218,14 @@ def encode(docs: DataFrame, model: str, text: str = "text", columns: list[str] |
     ``model``: the file's path on every machine. ``round_trip``: whether the ids
     decode to the text itself, found in the same pass.
     """
-    added = ("ids", "n_tokens", "parity", "round_trip")
-    keep = [c for c in (columns if columns is not None else docs.columns) if c not in added]
+    added, inside = ("ids", "n_tokens", "parity", "round_trip"), positional(docs)
+    names = [c for c in (columns if columns is not None else docs.columns) if c.lower() not in added]
+    keep = [place(docs, c) for c in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = load(model)
-        for part in parts(batches, "_encoded"):
-            texts = part.column("_encoded").to_pylist()
+        for part in parts(batches, "given"):
+            texts = part.column("given").to_pylist()
             packed, parity = codec.encode(texts)
             same = [p is None or codec.decode(np.frombuffer(p, "<i4")) == t for p, t in zip(packed, texts)]
             lengths = np.array([len(p or b"") // 4 for p in packed], np.int64)
@@ -228,22 +234,23 @@ def encode(docs: DataFrame, model: str, text: str = "text", columns: list[str] |
             ids = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(p or b"" for p in packed), "<i4")), mask=nulls)
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), ids, pa.array(lengths), pa.array(parity, pa.bool_()), pa.array(same, pa.bool_())], [*keep, *added])
 
-    base = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").cast("string").alias("_encoded"))
+    base = inside.select(*keep, F.col(place(docs, text)).cast("string").alias("given"))
     schema = T.StructType([*base.schema.fields[:-1], *T._parse_datatype_string("ids array<int>, n_tokens long, parity boolean, round_trip boolean").fields])
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(run, schema).toDF(*names, *added)
 
 
 def decode(docs: DataFrame, model: str, ids: str = "ids", name: str = "decoded") -> DataFrame:
     """``docs`` with the text that its ids stand for; null ids give null."""
-    keep = [c for c in docs.columns if c != name]
+    inside, names = positional(docs), [c for c in docs.columns if c.lower() != name.lower()]
+    keep = [place(docs, c) for c in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = load(model)
         for batch in batches:
-            column = batch.column("_ids")
+            column = batch.column("given")
             values, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
             texts = [codec.decode(values[a:b]) if ok else None for a, b, ok in zip(ends[:-1].tolist(), ends[1:].tolist(), column.is_valid().to_pylist())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(texts, pa.string())], [*keep, name])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(texts, pa.string())], [*keep, "made"])
 
-    base = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{ids}`").cast("array<int>").alias("_ids"))
-    return base.mapInArrow(run, T.StructType([*base.schema.fields[:-1], T.StructField(name, T.StringType())]))
+    base = inside.select(*keep, F.col(place(docs, ids)).cast("array<int>").alias("given"))
+    return base.mapInArrow(run, T.StructType([*base.schema.fields[:-1], T.StructField("made", T.StringType())])).toDF(*names, name)

@@ -7,8 +7,9 @@ symbols at the start minus the merges. The vocabulary file gives the merges,
 the normaliser and the pre-tokeniser pattern; files of another make than the
 two kinds described in ``load`` are refused.
 
-Words repeat, so each worker keeps the counts of the words that it has met, up
-to ``CACHE_WORDS``; beyond that it starts anew. Nothing is shuffled.
+Words repeat, so each worker keeps the counts of the short words that it has
+met, up to ``CACHE_BYTES`` of them; beyond that it starts anew. Nothing is
+shuffled.
 
 Edge cases: a null text counts as an empty one, 0 tokens; a special token's
 string inside a text is one token, as in the library's default; texts of any
@@ -31,7 +32,8 @@ from pyspark.sql import functions as F
 
 from quillgraph.llm.common import parts
 
-CACHE_WORDS = 1 << 19
+#: Characters of the words whose counts a worker keeps, and the longest word kept.
+CACHE_BYTES, LONGEST = 8 << 20, 256
 #: Unicode white space; the pattern language's own \s differs between engines.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
@@ -79,14 +81,22 @@ class _Known(dict):
 
     def __init__(self, merger: PairMerger):
         super().__init__()
-        self.merger, self.letters = merger, _byte_letters()
+        self.merger, self.letters, self.held = merger, _byte_letters(), 0
 
     def __missing__(self, word: str) -> int:
         symbols = [self.letters[b] for b in word.encode()]
         symbols[-1] += self.merger.word_end
-        self[word] = n = self.merger.count(symbols)
+        n = self.merger.count(symbols)
+        if len(word) <= LONGEST:
+            self[word] = n
+            self.held += len(word)
         return n
 
+    def trim(self) -> None:
+        if self.held > CACHE_BYTES:
+            self.clear()
+            self.held = 0
+
 
 class Counter:
     """Counts tokens of whole texts for one vocabulary file."""
@@ -121,13 +131,14 @@ class Counter:
         if len(special) < len(spec.get("added_tokens", [])) or any(t[k] for t in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip")):
             raise ValueError("only special tokens that match as they stand are handled")
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
+        self.first = {t[0] for t in special}
         self.known = _Known(PairMerger(model["merges"], model.get("end_of_word_suffix") or ""))
 
     def count(self, text: str | None) -> int:
         if not text:
             return 0
         found, pieces = 0, [text]
-        if self.special and "<" in text:
+        if any(c in text for c in self.first):
             pieces = self.special.split(text)
             found = len(pieces) - 1
         for part in pieces:
@@ -137,8 +148,7 @@ class Counter:
                 part = " " + part
             known = self.known
             found += sum(map(known.__getitem__, self.words.findall(part) if self.words else [part] if part else []))
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
+        self.known.trim()
         return found
 
 

@@ -33,6 +33,29 @@ def test_labels_of_held_out_rows_are_never_used(spark):
     assert np.allclose(one, two)
 
 
+def test_ridge_by_direct_solution(spark, monkeypatch):
+    """The summed normal equations against a least-squares solve over all training rows at once; also as a tree of sums."""
+    from pyspark.sql import functions as F
+
+    folder = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    measured = Q.written(Q.with_statistics(docs, ["doc_id"]), "test")
+    told = measured.join(labels.select("doc_id", "quality"), "doc_id").withColumn("turn", F.pmod(F.xxhash64("doc_id"), F.lit(Q.CALIBRATION))).toPandas()
+    told = told[[zlib.crc32(str(i).encode()) % 3 != 1 for i in told.doc_id]]
+    every = np.array(told.statistics.tolist())
+    part = told[told.turn != 0]
+    for rows, tasks in ((250_000, 16), (10, 2)):
+        monkeypatch.setattr(Q, "TASK_ROWS", rows)
+        monkeypatch.setattr(Q, "SUM_TASKS", tasks)
+        model = Q.fit(measured, labels)
+        assert np.allclose(model.centre, every.mean(axis=0)) and np.allclose(model.spread, np.maximum(every.std(axis=0), 1e-6))
+        z = model.lifted(np.array(part.statistics.tolist()))
+        ridge = np.sqrt(Q.RIDGE * len(part) / Q.FEATURES) * np.eye(z.shape[1])
+        want = np.linalg.lstsq(np.concatenate([z, ridge]), np.concatenate([part.quality.values, np.zeros(z.shape[1])]), rcond=None)[0]
+        assert np.allclose(z @ model.weights, z @ want, atol=1e-6)
+        assert np.allclose(model.weights, want, atol=1e-4)
+
+
 def test_isotonic_by_brute_force():
     rng = np.random.default_rng(0)
     for _ in range(50):
