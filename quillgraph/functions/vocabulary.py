@@ -82,32 +82,76 @@ PREDICATES = (
 LABEL_HITS = 8
 
 #: Properties that expansion keeps.
-KEPT_PROPERTIES = tuple(
-    f"P{n}"
-    for n in (
-        571, 576, 31, 279, 112, 169, 1037, 488, 3320, 6, 108, 463, 39, 106, 1344, 8324, 749, 355, 127, 1830, 199, 361, 527, 1365, 1366, 159, 17, 131,
-        150, 276, 452, 414, 856, 1128, 2139, 2226, 2295, 2541, 1454, 1056, 69, 27, 19, 569, 570, 21, 26, 40, 22, 25, 3373, 101, 1412, 166, 7, 737,
-    )
+KEPT_PROPERTIES = (
+    "P571", "P576", "P31", "P279", "P112", "P169", "P1037", "P488", "P3320", "P6", "P108", "P463", "P39", "P106",
+    "P1344", "P8324", "P749", "P355", "P127", "P1830", "P199", "P361", "P527", "P1365", "P1366", "P159", "P17", "P131",
+    "P150", "P276", "P452", "P414", "P856", "P1128", "P2139", "P2226", "P2295", "P2541", "P1454", "P1056", "P69", "P27",
+    "P19", "P569", "P570", "P21", "P26", "P40", "P22", "P25", "P3373", "P101", "P1412", "P166", "P7", "P737",
 )
 ANCHORS = ("Q1852025", "Q4034010", "Q2616400", "Q705525", "Q62882", "Q7407093")
 INCOMING = (("P108", 1000), ("P1344", 2000), ("P112", 1000), ("P355", 500), ("P127", 500))
 ANCHOR_LIMIT, ALIGNED_LIMIT, OUTGOING_LIMIT, NEW_LIMIT, NEW_ENTITIES = 5000, 1000, 1000, 500, 8000
 
 #: What training data leaves out.
-LITERAL_PROPERTIES = tuple(f"http://www.wikidata.org/prop/direct/P{n}" for n in (569, 570, 571, 576, 580, 582, 585, 2226, 1082, 2139, 2295, 1128, 856, 18, 154, 1412)) + (
+LITERAL_PROPERTIES = (
+    "http://www.wikidata.org/prop/direct/P569",
+    "http://www.wikidata.org/prop/direct/P570",
+    "http://www.wikidata.org/prop/direct/P571",
+    "http://www.wikidata.org/prop/direct/P576",
+    "http://www.wikidata.org/prop/direct/P580",
+    "http://www.wikidata.org/prop/direct/P582",
+    "http://www.wikidata.org/prop/direct/P585",
+    "http://www.wikidata.org/prop/direct/P2226",
+    "http://www.wikidata.org/prop/direct/P1082",
+    "http://www.wikidata.org/prop/direct/P2139",
+    "http://www.wikidata.org/prop/direct/P2295",
+    "http://www.wikidata.org/prop/direct/P1128",
     "http://www.w3.org/2000/01/rdf-schema#label",
     "http://schema.org/description",
+    "http://www.wikidata.org/prop/direct/P856",
+    "http://www.wikidata.org/prop/direct/P18",
+    "http://www.wikidata.org/prop/direct/P154",
+    "http://www.wikidata.org/prop/direct/P1412",
 )
 HUB_PROPERTIES = ("http://www.wikidata.org/prop/direct/P21",)
-HUB_OBJECTS = {"http://www.wikidata.org/prop/direct/P31": tuple(f"http://www.wikidata.org/entity/Q{n}" for n in (5, 6581097, 6581072))}
+HUB_OBJECTS = {
+    "http://www.wikidata.org/prop/direct/P31": (
+        "http://www.wikidata.org/entity/Q5",
+        "http://www.wikidata.org/entity/Q6581097",
+        "http://www.wikidata.org/entity/Q6581072",
+    ),
+}
 SCHEMA_PARTS = ("22-rdf-syntax-ns#type", "owl#sameAs", "owl#equivalentProperty", "owl#imports")
 PROTECTED_PARTS = ("ontology#",)
 
 #: instance-of value -> class, and properties whose subjects are people.
-INSTANCE_CLASSES = (
-    {f"Q{n}": "Company" for n in (4830453, 783794, 6881511, 891723, 210167, 1156831)}
-    | {f"Q{n}": "Organization" for n in (43229, 163740, 23002054, 31855, 38723, 3918, 1076486)}
-    | {f"Q{n}": "Tech/Product" for n in (7397, 35127, 1668024, 9143)}
+INSTANCE_CLASSES = {
+    "Q4830453": "Company",
+    "Q783794": "Company",
+    "Q6881511": "Company",
+    "Q891723": "Company",
+    "Q210167": "Company",
+    "Q1156831": "Company",
+    "Q43229": "Organization",
+    "Q163740": "Organization",
+    "Q23002054": "Organization",
+    "Q31855": "Organization",
+    "Q38723": "Organization",
+    "Q3918": "Organization",
+    "Q1076486": "Organization",
+    "Q7397": "Tech/Product",
+    "Q35127": "Tech/Product",
+    "Q1668024": "Tech/Product",
+    "Q9143": "Tech/Product",
+}
+PERSON_PROPERTIES = (
+    "http://www.wikidata.org/prop/direct/P106",
+    "http://www.wikidata.org/prop/direct/P69",
+    "http://www.wikidata.org/prop/direct/P19",
+    "http://www.wikidata.org/prop/direct/P22",
+    "http://www.wikidata.org/prop/direct/P25",
+    "http://www.wikidata.org/prop/direct/P26",
+    "http://www.wikidata.org/prop/direct/P40",
+    "http://www.wikidata.org/prop/direct/P3373",
 )
-PERSON_PROPERTIES = tuple(f"http://www.wikidata.org/prop/direct/P{n}" for n in (106, 69, 19, 22, 25, 26, 40, 3373))
 OWN_CLASSES = {"VCFirm": "VC Firm", "Person": "Person", "Company": "Company", "Organization": "Organization"}
