@@ -74,8 +74,8 @@ def read_tsv(spark: SparkSession, path: str, schema: str = PLAIN) -> DataFrame:
     return x.select(*(F.col("f")[k].cast(c.split()[1]).alias(c.split()[0]) for k, c in enumerate(schema.split(", "))))
 
 
-def write_tsv(df: DataFrame, path: str, header: bool = False) -> None:
-    df.write.mode("overwrite").option("header", header).option("sep", "\t").option("quote", "").csv(path)
+def write_tsv(df: DataFrame, path: str, header: bool = False, compression: str = "none") -> None:
+    df.write.mode("overwrite").option("compression", compression).option("header", header).option("sep", "\t").option("quote", "").csv(path)
 
 
 def read_dictionary(spark: SparkSession, path: str) -> DataFrame:

@@ -1,10 +1,13 @@
-"""Turtle and RDF/XML: ontologies and small graphs, parsed on the driver; Turtle is written by Spark."""
+"""Turtle and RDF/XML: ontologies and graphs, a file parsed in one piece where it is read; Turtle is written by Spark."""
 
 from __future__ import annotations
 
 import re
 import xml.etree.ElementTree as ET
+import zlib
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +15,8 @@ from quillgraph.plans.sparql_parser import Group, Parser, SparqlError, Term, Var
 from quillgraph.schemas import BLANK, LITERAL, RDF, TRIPLES, URI, XSD
 from quillgraph.sources.ntriples import _escaped
 
+#: Triples that a batch of a parsed file holds.
+PARSED = 50_000
 Row = tuple[str, str, str, str, str | None, str | None]
 
 
@@ -132,9 +137,28 @@ def parse_rdfxml(text: str) -> list[Row]:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """A Turtle or RDF/XML file, by its ending, read through Spark so that any store will do."""
-    text = spark.read.text(path, wholetext=True).first()[0]
-    return spark.createDataFrame(parse_turtle(text) if path.endswith(".ttl") else parse_rdfxml(text), TRIPLES)
+    """The triples of a Turtle or RDF/XML file, or of all files of a folder or pattern, read through Spark so that any store will do.
+
+    Files are parsed where they are read, by their own ending or the path's
+    (``.ttl``, or else RDF/XML); a file fits in memory, their number is unbounded.
+    Blank nodes belong to their file: with several files their names tell which.
+    The part files of one graph that Spark has written are one file in this.
+    """
+    texts = spark.read.text(path, wholetext=True)
+    several, turtle = len(texts.inputFiles()) > 1, path.rstrip("/").endswith(".ttl")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text, file in zip(batch.column("value").to_pylist(), batch.column("file").to_pylist()):
+                rows = parse_turtle(text) if turtle or file.endswith(".ttl") else parse_rdfxml(text)
+                if several and not file.rpartition("/")[2].startswith("part-"):
+                    scope = f"_:f{zlib.crc32(file.encode()):08x}"
+                    rows = [(s.replace("_:", scope, 1) if s[:2] == "_:" else s, p, o.replace("_:", scope, 1) if kind == BLANK else o, kind, lang, dtype) for s, p, o, kind, lang, dtype in rows]
+                for k in range(0, len(rows), PARSED):
+                    columns = zip(*rows[k : k + PARSED])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["s", "p", "o", "o_kind", "o_lang", "o_dtype"])
+
+    return texts.select("value", F.col("_metadata.file_path").alias("file")).mapInArrow(run, TRIPLES)
 
 
 def union(*graphs: DataFrame) -> DataFrame:

@@ -61,6 +61,31 @@ def test_rdfxml():
     assert len(rows) == 5
 
 
+def test_all_files_of_a_folder(spark, tmp_path):
+    """Turtle and RDF/XML side by side; equal names of blank nodes in two files are two nodes, in parts of one graph they are one."""
+    (tmp_path / "a.ttl").write_text("<http://a> <http://p> _:x . _:x <http://q> 1 .")
+    (tmp_path / "b.ttl").write_text("<http://b> <http://p> _:x .")
+    (tmp_path / "c.rdf").write_text('<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:f="http://f#"><rdf:Description rdf:about="http://c"><f:p>text</f:p></rdf:Description></rdf:RDF>')
+    rows = turtle.read(spark, str(tmp_path)).collect()
+    assert len(rows) == 4 and {r.s for r in rows if r.s[:2] != "_:"} == {"http://a", "http://b", "http://c"}
+    ends = {r.s: r.o for r in rows if r.p == "http://p"}
+    assert ends["http://a"] != ends["http://b"] and {r.s for r in rows if r.p == "http://q"} == {ends["http://a"]}
+    one = turtle.read(spark, str(tmp_path / "a.ttl")).collect()
+    assert {r.o for r in one if r.p == "http://p"} == {"_:x"}
+    parts = spark.createDataFrame([(f"http://s{k}", "http://p", "_:x", "bnode", None, None) for k in range(40)], TRIPLES)
+    turtle.write(parts.repartition(3), str(tmp_path / "parts.ttl"))
+    back = turtle.read(spark, str(tmp_path / "parts.ttl")).collect()
+    assert len(back) == 40 and {r.o for r in back} == {"_:x"}
+
+
+def test_json_documents(spark, tmp_path):
+    """Counts as one object, label to text to number; keys are quoted as JSON wants it."""
+    rows = [("A", 'say "hi"', 3), ("A", "b", 1), ("B\\", "é", 2)]
+    jsonl.write_counts(spark.createDataFrame(rows, "label string, text string, n long"), str(tmp_path / "counts"))
+    found = jsonl.read_document(spark, str(tmp_path / "counts"), "A map<string,long>, `B\\` map<string,long>").first()
+    assert found["A"] == {'say "hi"': 3, "b": 1} and found["B\\"] == {"é": 2}
+
+
 def test_lines_labels_and_tsv(spark, tmp_path):
     lines = ['<http://a> <http://www.w3.org/2000/01/rdf-schema#label> "Two words"@en .', '<http://b> <http://www.w3.org/2000/01/rdf-schema#label> "Deux"@fr .', "# no", "", "broken", '_:b <http://p> <http://o> .']
     (tmp_path / "x.nt").write_text("\n".join(lines))
