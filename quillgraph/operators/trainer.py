@@ -1,9 +1,11 @@
 """Training of link-prediction models: NumPy steps, averaged over Spark's partitions.
 
-Each round sends the parameters out, every partition makes Adam steps over its
-own triples, and the parameters come back averaged. With one partition this is
-plain minibatch training. The parameters live on the driver, as a model of this
-kind does: n entities x dim numbers, checked against ``MOST_PARAMETERS``.
+Each round sends the parameters and Adam's moments out, every partition makes
+steps over its own triples, in a random order of its own, and both come back
+averaged. With one partition this is plain minibatch training, number by number
+(``train_locally``). The averages are taken block by block in tasks and written;
+the driver reads one copy, n entities x dim numbers and as many again twice for
+the moments, checked against ``MOST_PARAMETERS``.
 """
 
 from __future__ import annotations
@@ -17,6 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 MOST_PARAMETERS = 50_000_000
+#: Rows of a parameter that are averaged together.
+BLOCK = 4096
+STATE = "name string, block int, n long, data binary"
 
 
 @dataclass(frozen=True)
@@ -147,48 +152,107 @@ def epoch(config: Config, params: dict[str, np.ndarray], triples: np.ndarray, he
     return float(np.mean(losses)) if losses else 0.0
 
 
-def train(triples: DataFrame, config: Config, entities: int, relations: int, partitions: int = 1) -> tuple[dict[str, np.ndarray], list[float], float]:
-    """(parameters, mean loss of each epoch, seconds) for triples (s, p, o as ids)."""
+def _packed(x: np.ndarray, adam: Adam) -> np.ndarray:
+    return np.concatenate([x, adam.m, adam.v, adam.k[:, None]], axis=1)
+
+
+def _unpacked(state: np.ndarray, rate: float) -> tuple[np.ndarray, Adam]:
+    n = state.shape[1] // 3
+    x, adam = state[:, :n].copy(), Adam((len(state), n), rate)
+    adam.m, adam.v, adam.k = state[:, n : 2 * n].copy(), state[:, 2 * n : 3 * n].copy(), state[:, 3 * n].copy()
+    return x, adam
+
+
+def _averaged(key: tuple, rows: pa.Table) -> pa.Table:
+    """One block of all partitions, weighed by their triples."""
+    n = rows.column("n").to_numpy()
+    total = sum(np.frombuffer(d) * k for d, k in zip(rows.column("data").to_pylist(), n.tolist()))
+    return pa.table({"name": pa.array([key[0].as_py()]), "block": pa.array([key[1].as_py()], pa.int32()), "n": pa.array([int(n.sum())]), "data": pa.array([(total / n.sum()).tobytes()])})
+
+
+def _ordered(triples: np.ndarray) -> np.ndarray:
+    return triples[np.lexsort(triples.T[::-1])]
+
+
+def fit(triples: DataFrame, config: Config, entities: int, relations: int, partitions: int = 1) -> tuple[DataFrame, list[float], float]:
+    """(the state as written blocks, mean loss of each epoch, seconds) for triples (s, p, o as ids)."""
+    from pyspark import TaskContext
+
     from quillgraph.operators.embeddings import bernoulli_stats
     from quillgraph.session import written
 
     if (entities + relations) * width(config) > MOST_PARAMETERS:
         raise ValueError("more parameters than the driver may hold")
     began = time.time()
-    params = start(config, entities, relations)
+    state = {n: _packed(x, Adam(x.shape, config.rate)) for n, x in start(config, entities, relations).items()}
+    shapes = {n: x.shape for n, x in state.items()}
     head = np.full(relations, 0.5)
     for x in bernoulli_stats(triples).collect():  # a row per relation
         head[x.p] = x.head_probability
     dealt = written(triples.select("s", "p", "o").repartition(partitions), "train")
-    spark, losses = triples.sparkSession, []
+    spark, losses, blocks = triples.sparkSession, [], None
     for k in range(config.epochs):
-        sent = spark.sparkContext.broadcast(params)
+        sent = spark.sparkContext.broadcast(state)
 
         def run(batches: Iterator[pa.RecordBatch], k: int = k, sent=sent) -> Iterator[pa.RecordBatch]:
             parts = [np.stack([b.column(c).to_numpy() for c in range(3)], axis=1) for b in batches if b.num_rows]
             if not parts:
                 return
-            own = {n: x.copy() for n, x in sent.value.items()}
-            steps = {n: Adam(x.shape, config.rate) for n, x in own.items()}
-            rows = np.concatenate(parts)
-            loss = epoch(config, own, rows, head, steps, np.random.default_rng([config.seed, k, len(rows)]))
-            yield pa.RecordBatch.from_arrays([pa.array([own["e"].tobytes()]), pa.array([own["r"].tobytes()]), pa.array([loss]), pa.array([len(rows)])], ["e", "r", "loss", "n"])
-
-        found = dealt.coalesce(partitions).mapInArrow(run, "e binary, r binary, loss double, n long").collect()  # a row per partition
+            own = {n: _unpacked(x, config.rate) for n, x in sent.value.items()}
+            rows = _ordered(np.concatenate(parts))
+            rng = np.random.default_rng([config.seed, k, TaskContext.get().partitionId()])
+            loss = epoch(config, {n: x for n, (x, _) in own.items()}, rows, head, {n: adam for n, (_, adam) in own.items()}, rng)
+            out = [("loss", 0, np.array([loss]))]
+            for n, (x, adam) in own.items():
+                packed = _packed(x, adam)
+                out += [(n, at // BLOCK, packed[at : at + BLOCK]) for at in range(0, len(packed), BLOCK)]
+            for n, block, data in out:
+                yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([block], pa.int32()), pa.array([len(rows)]), pa.array([data.tobytes()])], ["name", "block", "n", "data"])
+
+        made = dealt.coalesce(partitions).mapInArrow(run, STATE)
+        blocks = written(made.groupBy("name", "block").applyInArrow(_averaged, STATE), "train-state")
         sent.unpersist()
-        total = sum(f.n for f in found)
-        for name in ("e", "r"):
-            params[name] = sum(np.frombuffer(bytes(f[name])).reshape(params[name].shape) * (f.n / total) for f in found)
-        losses.append(sum(f.loss * f.n for f in found) / total)
-    return params, losses, time.time() - began
+        found = {(r.name, r.block): np.frombuffer(bytes(r.data)) for r in blocks.collect()}  # one copy of the state
+        if not found:
+            break
+        state = {n: np.concatenate([found[n, b] for b in range(-(-rows // BLOCK))]).reshape(rows, -1) for n, (rows, _) in shapes.items()}
+        losses.append(float(found["loss", 0][0]))
+    if blocks is None or not losses:  # no epochs or no triples: the state as it starts
+        rows = [(n, at // BLOCK, 0, x[at : at + BLOCK].tobytes()) for n, x in state.items() for at in range(0, len(x), BLOCK)]
+        blocks = spark.createDataFrame(rows, STATE)
+    return blocks, losses, time.time() - began
+
+
+def parameters(blocks: DataFrame, name: str, config: Config) -> DataFrame:
+    """id, v: the vectors of ``e`` or ``r`` from written blocks, unpacked where they are."""
+    n = width(config)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, data in zip(batch.column("block").to_pylist(), batch.column("data").to_pylist()):
+                x = np.frombuffer(data).reshape(-1, 3 * n + 1)[:, :n]
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * n), pa.array(x.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(x)) + block * BLOCK), lists], ["id", "v"])
+
+    return blocks.where(blocks["name"] == name).select("block", "data").mapInArrow(run, "id long, v array<double>")
+
+
+def train(triples: DataFrame, config: Config, entities: int, relations: int, partitions: int = 1) -> tuple[dict[str, np.ndarray], list[float], float]:
+    """(parameters, mean loss of each epoch, seconds): ``fit``, with the parameters as arrays."""
+    blocks, losses, seconds = fit(triples, config, entities, relations, partitions)
+    params = {}
+    for name, rows in (("e", entities), ("r", relations)):
+        found = sorted(parameters(blocks, name, config).collect())
+        params[name] = np.array([r.v for r in found]).reshape(rows, width(config))
+    return params, losses, seconds
 
 
 def train_locally(triples: np.ndarray, config: Config, entities: int, relations: int, head: np.ndarray | None = None) -> tuple[dict[str, np.ndarray], list[float]]:
-    """The same without Spark, with one optimiser for all epochs."""
+    """The same without Spark, as one partition."""
     params = start(config, entities, relations)
-    steps, rng = {n: Adam(x.shape, config.rate) for n, x in params.items()}, np.random.default_rng(config.seed)
+    steps, rows = {n: Adam(x.shape, config.rate) for n, x in params.items()}, _ordered(triples)
     head = np.full(relations, 0.5) if head is None else head
-    return params, [epoch(config, params, triples, head, steps, rng) for _ in range(config.epochs)]
+    return params, [epoch(config, params, rows, head, steps, np.random.default_rng([config.seed, k, 0])) for k in range(config.epochs)]
 
 
 def tables(spark: SparkSession, params: dict[str, np.ndarray]) -> tuple[DataFrame, DataFrame]:

@@ -51,9 +51,9 @@ def trained(rows: DataFrame, config: trainer.Config, out: str, partitions: int =
     e, r = ts.entity_ids(train), ts.relation_ids(train)
     coded = {name: written(ts.encode(rows.where(f"split = '{name}'"), e, r), "model-ids") for name in ("train", "valid", "test")}
     n = e.count()
-    params, losses, seconds = trainer.train(coded["train"], config, n, r.count(), partitions)
-    for name, ids, table in zip(("entities", "relations"), (e, r), trainer.tables(spark, params)):
-        table.join(ids, "id").write.mode("overwrite").parquet(f"{out}/{name}")
+    blocks, losses, seconds = trainer.fit(coded["train"], config, n, r.count(), partitions)
+    for name, ids, part in (("entities", e, "e"), ("relations", r, "r")):
+        trainer.parameters(blocks, part, config).join(ids, "id").write.mode("overwrite").parquet(f"{out}/{name}")
     spark.createDataFrame(list(enumerate(losses, 1)), "epoch int, loss double").write.mode("overwrite").parquet(f"{out}/losses")
     ents, rels = (spark.read.parquet(f"{out}/{name}").select("id", "v") for name in ("entities", "relations"))
     known = coded["train"].unionByName(coded["valid"]).unionByName(coded["test"])
