@@ -105,12 +105,27 @@ def apply(rule: Rule, graph: DataFrame) -> DataFrame:
     return found.alias("a").join(fresh.alias("b"), on, "left").select("a.*", F.coalesce("b.asserted", F.lit(True)).alias("asserted"))
 
 
+#: Rounds after which the parts of a closure are written as one table again.
+COMPACT = 4
+
+
 def closure(graph: DataFrame, rules: list[Rule], rounds: int = 100) -> DataFrame:
-    """The graph with all that the rules entail."""
+    """The graph with all that the rules entail.
+
+    A rule fires only where all its premises with a constant predicate (and
+    object, for types) occur: what occurs is looked up once and added to with
+    every round's conclusions, a row for each predicate or type that rules name.
+    """
     now = fresh = written(graph.select(*KEYS).distinct(), "closure")
+    named = {_sign(part) for rule in rules for part in rule.body} - {None}
+    seen = _signs(now, named)
+    recent = seen
     for k in range(rounds):
         found = None
         for rule in rules:
+            signs = [_sign(part) for part in rule.body]
+            if any(x is not None and x not in seen for x in signs) or not any(x is None or x in recent for x in signs):
+                continue
             x = conclusions(rule, fired(rule, now, fresh if k else None))
             found = x if found is None else found.unionByName(x)
         if found is None:
@@ -118,10 +133,34 @@ def closure(graph: DataFrame, rules: list[Rule], rounds: int = 100) -> DataFrame
         fresh = written(new_triples(found, now), "closure-new")
         if fresh.isEmpty():
             break
+        recent = _signs(fresh, named)
+        seen = seen | recent
         now = now.unionByName(fresh)
+        if (k + 1) % COMPACT == 0:
+            now = written(now, "closure")
     return now
 
 
+def _sign(part: tuple) -> tuple[str, str | None] | None:
+    """(predicate, class if it is a type) of a premise; None if the predicate is open."""
+    _, p, o = part
+    if isinstance(p, Var):
+        return None
+    return p.value, o.value if p.value == RDF + "type" and not isinstance(o, Var) else None
+
+
+def _signs(graph: DataFrame, named: set) -> set:
+    """Those of ``named`` that occur."""
+    if not named:
+        return set()
+    plain = [p for p, o in named if o is None]
+    typed = [o for p, o in named if o is not None]
+    is_typed = (F.col("p") == RDF + "type") & F.col("o").isin(*typed)
+    rows = graph.where(F.col("p").isin(*plain) | is_typed).select("p", F.when(is_typed, F.col("o")).alias("o")).distinct().collect()
+    found = {(r.p, r.o) for r in rows} | {(r.p, None) for r in rows}
+    return found & named
+
+
 def _v(*names: str) -> list[Var]:
     return [Var(n) for n in names]
 
@@ -158,18 +197,28 @@ def ontology_rules() -> list[Rule]:
 
 
 def intersection_rules(graph: DataFrame) -> list[Rule]:
-    """For classes that are intersections of lists; schema triples are few and come to the driver."""
-    part = graph.where(F.col("p").isin(OWL + "intersectionOf", RDF + "first", RDF + "rest")).select("s", "p", "o").collect()
-    first, rest = ({t.s: t.o for t in part if t.p == RDF + n} for n in ("first", "rest"))
+    """For classes that are intersections of lists; of the graph's lists only those come to the driver.
+
+    Lists are followed cell by cell, all of them one step a round. A list without
+    an end, or that comes back on itself, has the members met until then.
+    """
+    classes = [(t.s, t.o) for t in graph.where(F.col("p") == OWL + "intersectionOf").select("s", "o").distinct().collect()]
+    first, rest, ahead = {}, {}, {o for _, o in classes}
+    while ahead:
+        part = graph.where(F.col("p").isin(RDF + "first", RDF + "rest") & F.col("s").isin(*sorted(ahead))).select("s", "p", "o").collect()
+        for t in part:
+            (first if t.p == RDF + "first" else rest)[t.s] = t.o
+        ahead = {t.o for t in part if t.p == RDF + "rest"} - first.keys() - rest.keys()
     x, a, out = Var("x"), _u(RDF + "type"), []
-    for t in part:
-        if t.p == OWL + "intersectionOf":
-            members, cell = [], t.o
-            while cell in first:
-                members.append(first[cell])
-                cell = rest[cell]
-            out.append(Rule(tuple((x, a, _u(m)) for m in members), (x, a, _u(t.s))))
-            out += [Rule(((x, a, _u(t.s)),), (x, a, _u(m))) for m in members]
+    for name, cell in sorted(classes):
+        members, met = [], set()
+        while cell in first and cell not in met:
+            members.append(first[cell])
+            met.add(cell)
+            cell = rest.get(cell)
+        if members:
+            out.append(Rule(tuple((x, a, _u(m)) for m in members), (x, a, _u(name))))
+            out += [Rule(((x, a, _u(name)),), (x, a, _u(m))) for m in members]
     return out
 
 

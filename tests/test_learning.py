@@ -262,6 +262,34 @@ def test_distributed_training(spark):
         trainer.train(triples, config, 10**8, 1)
 
 
+@pytest.mark.parametrize("model", embeddings.MODELS)
+def test_one_partition_is_local_training(spark, model):
+    """Adam's moments go from epoch to epoch, so the numbers are the same."""
+    rows = [(k, k % 2, (k * 5 + 1) % 12) for k in range(12)]
+    triples = spark.createDataFrame(rows, "s long, p long, o long").repartition(3)
+    config = trainer.smaller(trainer.CONFIGS[model], dim=3, epochs=4, batch=5, negatives=3, rate=0.1)
+    head = np.array([r.head_probability for r in embeddings.bernoulli_stats(triples).orderBy("p").collect()])
+    want, losses = trainer.train_locally(np.array(rows), config, 12, 2, head)
+    params, found, _ = trainer.train(triples, config, 12, 2)
+    assert np.allclose(found, losses) and all(np.allclose(params[n], want[n]) for n in "er")
+
+
+def test_partitions_draw_their_own_numbers(spark, monkeypatch):
+    """Blocks are averaged by the partitions' triples; partitions with equal triples still differ."""
+    monkeypatch.setattr(trainer, "BLOCK", 5)
+    config = trainer.Config("DistMult", dim=2, epochs=1, batch=4, negatives=2, rate=0.1)
+    triples = spark.createDataFrame([(k % 4, 0, (k + 1) % 4) for k in range(16)], "s long, p long, o long")
+    params, losses, _ = trainer.train(triples, config, 13, 1, partitions=2)
+    one, _, _ = trainer.train(triples, config, 13, 1)
+    assert params["e"].shape == (13, 2) and len(losses) == 1 and not np.allclose(params["e"], one["e"])
+
+
+def test_training_without_triples_gives_the_start(spark):
+    config = trainer.Config("TransE", dim=2, epochs=2)
+    params, losses, _ = trainer.train(spark.createDataFrame([], "s long, p long, o long"), config, 3, 1)
+    assert not losses and np.allclose(params["e"], trainer.start(config, 3, 1)["e"])
+
+
 # --- rules ---
 
 
@@ -304,3 +332,24 @@ def test_threshold(spark):
     rule = rules.parse_rule("Person(?p), age(?p, ?a), swrlb:greaterThan(?a, 60) -> OldPerson(?p)")
     full = rules.entailed(df.unionByName(rules.subclass(spark, old, NAMESPACE + "Person")), [rule])
     assert [(r.name, r.member) for r in rules.individuals(full, NAMESPACE + "age", old).collect()] == [("Ann", False), ("Kim", False), ("Rex", False), ("Tom", True)]
+
+
+def test_lists_without_an_end(spark):
+    """A list that breaks off or comes back on itself has the members met until then; other lists are left alone."""
+    cells = [("a", "first", "A"), ("a", "rest", "b"), ("b", "first", "B"), ("r", "first", "R"), ("r", "rest", "q"), ("q", "first", "Q"), ("q", "rest", "r"), ("z", "first", "Z")]
+    rows = [("_:" + s, RDF + p, ("_:" if p == "rest" else "http://c#") + o, "uri", None, None) for s, p, o in cells]
+    rows += [("http://c#" + s, OWL + "intersectionOf", "_:" + o, "bnode", None, None) for s, o in (("Broken", "a"), ("Round", "r"), ("None", "x"))]
+    found = rules.intersection_rules(spark.createDataFrame(rows, TRIPLES))
+    whole = {r.head[2].value.split("#")[1]: [part[2].value.split("#")[1] for part in r.body] for r in found if len(r.body) > 1}
+    assert whole == {"Broken": ["A", "B"], "Round": ["R", "Q"]} and len(found) == 6
+
+
+def test_closure_of_many_rounds(spark, monkeypatch):
+    """A long chain, compacted on the way, and rules whose premises only other rules bring about."""
+    monkeypatch.setattr(rules, "COMPACT", 2)
+    link = lambda a, p, b: (NAMESPACE + a, NAMESPACE + p, NAMESPACE + b, "uri", None, None)
+    df = spark.createDataFrame([link(f"n{k}", "next", f"n{k + 1}") for k in range(9)], TRIPLES)
+    made = [rules.parse_rule(x) for x in ("next(?a, ?b) -> reach(?a, ?b)", "next(?a, ?b), reach(?b, ?c) -> reach(?a, ?c)", "reach(?a, ?b), reach(?b, ?c) -> far(?a, ?c)", "never(?a, ?b) -> far(?a, ?b)")]
+    out = rules.closure(df, made)
+    count = {r.p.split("#")[1]: r["count"] for r in out.groupBy("p").count().collect()}
+    assert count == {"next": 9, "reach": 45, "far": 36}
