@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions import vocabulary
 from quillgraph.functions.text import without_possessive, words
+from quillgraph.operators.training_set import ranked_within
 from quillgraph.schemas import MENTIONS
 
 #: Two to four capitalised words, for documents that no model has tagged.
@@ -113,12 +114,12 @@ def global_canonical(forms: DataFrame, as_coded: bool = False) -> DataFrame:
     single = ends.groupBy("label", "text").agg(F.count("*").alias("k"), F.min("form").alias("only"))
     rest = others.join(single, ["label", "text"], "left")
     if as_coded:
-        # the form in the outer loop claims every shorter form that has one candidate: the most frequent form of the label does
-        first = Window.partitionBy("label").orderBy(F.col("n").desc(), "text")
-        lead = others.withColumn("place", F.row_number().over(first)).select("label", F.col("text").alias("outer"), "place")
-        claims = rest.where("k = 1").select("label", "text", "n").join(lead, "label").where(F.length("outer") > F.length("text"))
-        own = others.withColumn("place", F.row_number().over(first)).select("label", "text", F.col("place").alias("own"))
-        claimed = claims.join(own, ["label", "text"]).where("place < own").groupBy("label", "text").agg(F.min_by("outer", "place").alias("claim"))
+        # the form in the outer loop claims every shorter form that has one candidate: the first of the longer ones, if it comes before the form itself
+        place = F.struct((-F.col("n")).alias("less"), "text")
+        longer = Window.partitionBy("label").orderBy(F.col("size").desc()).rowsBetween(Window.unboundedPreceding, -1)
+        lead = others.groupBy("label", F.length("text").alias("size")).agg(F.min(place).alias("first")).withColumn("outer", F.min("first").over(longer))  # a row per length
+        claims = rest.where("k = 1").withColumn("size", F.length("text")).join(lead.select("label", "size", "outer"), ["label", "size"])
+        claimed = claims.where(F.col("outer") < place).select("label", "text", F.col("outer.text").alias("claim"))
         return mapped.unionByName(dropped).unionByName(others.join(claimed, ["label", "text"], "left").select("label", "text", F.coalesce("claim", "text").alias("canonical")))
     kept = rest.select("label", "text", F.when(F.col("k") == 1, F.col("only")).otherwise(F.col("text")).alias("canonical"))
     return mapped.unionByName(dropped).unionByName(kept)
@@ -135,11 +136,11 @@ def whitelist(found: DataFrame, least: int = vocabulary.MIN_MENTIONS, caps: dict
 
     Ties go by text. The empty form, which stands for a dropped one, never comes in.
     """
-    rank = F.row_number().over(Window.partitionBy("label").orderBy(F.col("n").desc(), "text"))
     cap = F.lit(other)
     for label, most in caps.items():
         cap = F.when(F.col("label") == label, F.lit(most).cast("int")).otherwise(cap)
-    return found.where((F.col("n") >= least) & (F.col("text") != "")).withColumn("rank", rank).where((F.col("rank") <= cap) | cap.isNull())
+    often = ranked_within(found.where((F.col("n") >= least) & (F.col("text") != "")), "label", [-F.col("n"), F.col("text")], "rank")
+    return often.withColumn("rank", (F.col("rank") + 1).cast("int")).where((F.col("rank") <= cap) | cap.isNull())
 
 
 def kept_mentions(mentions: DataFrame, white: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions import vocabulary
 from quillgraph.functions.text import any_word
-from quillgraph.session import written
+from quillgraph.session import small, written
 
 URI = r"^<(https?://[^\s<>]+)>$"
 WHITE = r"[\x09-\x0D\x1C-\x20]"
@@ -100,8 +100,7 @@ def relation_cap(triples: DataFrame, most: int | None, seed: int = SEED) -> Data
     """At most so many triples of a relation, in hash order; None: all."""
     if most is None:
         return triples
-    rank = F.row_number().over(Window.partitionBy("p").orderBy(position(seed, "s", "p", "o"), "s", "o"))
-    return triples.withColumn("_n", rank).where(F.col("_n") <= most).drop("_n")
+    return ranked_within(triples, "p", [position(seed, "s", "p", "o"), F.col("s"), F.col("o")], "_n").where(F.col("_n") < most).drop("_n")
 
 
 def ranked(rows: DataFrame, by: list[Column], name: str) -> DataFrame:
@@ -119,6 +118,14 @@ def ranked(rows: DataFrame, by: list[Column], name: str) -> DataFrame:
     return dealt.withColumn("_in", inner).join(F.broadcast(offsets), "_part").withColumn(name, (F.col("_from") + F.col("_in")).cast("long")).drop("_part", "_in", "_from", *keys)
 
 
+def ranked_within(rows: DataFrame, group: str, by: list[Column], name: str) -> DataFrame:
+    """``rows`` numbered from 0 inside each group, in a total order; a group of any size is spread over all tasks."""
+    placed = ranked(rows, [F.col(group), *by], "_place")
+    first = placed.groupBy(F.col(group).alias("_group")).agg(F.min("_place").alias("_first"))
+    met = placed.join(small(first), F.col(group).eqNullSafe(F.col("_group")))
+    return met.withColumn(name, F.col("_place") - F.col("_first")).drop("_place", "_group", "_first")
+
+
 def entity_ids(triples: DataFrame) -> DataFrame:
     """id, uri in code-point order, from 0."""
     return ranked(triples.select(F.explode(F.array("s", "o")).alias("uri")).distinct(), [F.col("uri")], "id").select("id", "uri")
