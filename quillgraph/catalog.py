@@ -734,8 +734,8 @@ def train_transe(spark, sf_dir):
     x = written(bridge.edges(spark, sf_dir), "train")
     e, r = ts.entity_ids(x), ts.relation_ids(x)
     config = trainer.Config("TransE", dim=16, epochs=3, batch=8, negatives=4, rate=0.05, loss="nssa", margin=3.0)
-    params, _, _ = trainer.train(ts.encode(x, e, r), config, e.count(), r.count(), partitions=2)
-    return trainer.tables(spark, params)[0].join(e, "id").select("id", "uri", "v")
+    blocks, _, _ = trainer.fit(ts.encode(x, e, r), config, e.count(), r.count(), partitions=2)
+    return trainer.parameters(blocks, "e", config).join(e, "id").select("id", "uri", "v")
 
 
 # --- rules -------------------------------------------------------------------------------------------
@@ -848,3 +848,4 @@ def ambiguity_cases(spark, sf_dir):
     return mentions.ambiguity_cases(spark)
 
 
+from quillgraph import flows  # noqa: E402, F401  it registers further queries
