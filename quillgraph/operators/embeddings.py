@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 from quillgraph.functions import vocabulary
 from quillgraph.functions.text import local_name
 from quillgraph.schemas import NAMESPACE, RDF, WDT
-from quillgraph.session import small
+from quillgraph.session import small, written
 
-#: Vectors (rows) up to which an entity table is broadcast.
-BROADCAST_ROWS = 200_000
-#: Entities that are compared with a query at a time.
-ENTITY_BLOCK = 8_192
+#: Bytes of query vectors that one pass over the entities holds, and queries multiplied at a time.
+CHUNK_BYTES, AT_ONCE = 32 << 20, 256
+#: Pairs computed number by number at a time.
+PAIRS = 1 << 16
 
 
 def _sum(x: Column) -> Column:
@@ -99,56 +99,101 @@ def vectors_of(triples: DataFrame, entities: DataFrame, relations: DataFrame) ->
     return triples.join(e("s", "h"), "s").join(e("o", "t"), "o").join(relations.select(F.col("id").alias("p"), F.col("v").alias("r")), "p")
 
 
-def _columns(entities: DataFrame) -> tuple:
-    """Broadcasts of the ids and of the vectors' transpose, or None twice if there are more than ``BROADCAST_ROWS``."""
-    if entities.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
-        return None, None
-    found = entities.select("id", F.transform("v", lambda x: x.cast("double")).alias("v")).toArrow()
-    vectors = found["v"].combine_chunks()
-    flat = vectors.flatten().to_numpy(zero_copy_only=False)
-    context = entities.sparkSession.sparkContext
-    return context.broadcast(found["id"].to_numpy()), context.broadcast(np.ascontiguousarray(flat.reshape(len(found), -1).T))
+def _vectors(column: pa.Array | pa.ChunkedArray, rows: int) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(rows, -1)
 
 
-def _counted(model: str, queries: DataFrame, end: str, ids, columns, p: int) -> DataFrame:
-    """s, p, o, better, equal: entities but the one in ``end`` that score above ``true``, or the same.
+def _one_by_one(model: str, p: int, q: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """Scores of pairs of rows, added in the vectors' order as ``match`` does, so that equal scores are equal here, too."""
+    out = []
+    for k in range(0, len(q), PAIRS):
+        a, b = q[k : k + PAIRS], e[k : k + PAIRS]
+        acc = np.zeros(len(a))
+        for j in range(q.shape[1]):
+            if model in ("TransE", "RotatE"):
+                x = a[:, j] - b[:, j]
+                acc += np.abs(x) if model == "TransE" and p == 1 else x * x
+            else:
+                acc += a[:, j] * b[:, j]
+        if model == "RotatE" or (model == "TransE" and p != 1):
+            acc = np.sqrt(acc)
+        out.append(-acc if model in ("TransE", "RotatE") else acc)
+    return np.concatenate(out) if out else np.zeros(0)
+
+
+def _passes(asked: DataFrame, vector: str) -> list[DataFrame]:
+    """``asked`` in parts whose vectors take about CHUNK_BYTES; it has ``_query``, its rows' numbers."""
+    size = asked.agg(F.sum(8 * F.size(vector))).first()[0] or 0
+    n = max(1, -(-size // CHUNK_BYTES))
+    return [asked.where(F.pmod(F.xxhash64("_query"), F.lit(n)) == k) for k in range(n)]
 
-    Numbers are added in the vectors' order, as ``match`` does, so equal scores are equal here, too.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e, width = columns.value, min(ENTITY_BLOCK, max(1, len(ids.value)))
-        total, step = np.empty(width), np.empty(width)
-        place = {x: k for k, x in enumerate(ids.value.tolist())}
-        for batch in batches:
-            hidden = [place[x] for x in batch.column(f"_{end}").to_pylist()]
-            better, equal = np.zeros(len(hidden), np.int64), np.zeros(len(hidden), np.int64)
-            for a in range(0, e.shape[1], width):
-                block = e[:, a : a + width]
-                acc, x = total[: block.shape[1]], step[: block.shape[1]]
-                for k, (q, true) in enumerate(zip(batch.column("q").to_pylist(), batch.column("true").to_pylist())):
-                    acc[:] = 0.0
-                    for d, y in enumerate(q):
-                        if model in ("TransE", "RotatE"):
-                            np.subtract(y, block[d], out=x)
-                            np.abs(x, out=x) if model == "TransE" and p == 1 else np.multiply(x, x, out=x)
-                        else:
-                            np.multiply(y, block[d], out=x)
-                        acc += x
-                    if model == "RotatE" or (model == "TransE" and p != 1):
-                        np.sqrt(acc, out=acc)
-                    if model in ("TransE", "RotatE"):
-                        np.negative(acc, out=acc)
-                    if a <= hidden[k] < a + len(acc):
-                        acc[hidden[k] - a] = -np.inf  # the end itself is not its own rival
-                    better[k] += np.count_nonzero(acc > true)
-                    equal[k] += np.count_nonzero(acc == true)
-            yield pa.RecordBatch.from_arrays([*(batch.column(f"_{c}") for c in "spo"), pa.array(better), pa.array(equal)], ["s", "p", "o", "better", "equal"])
-
-    base = queries.select(*(F.col(c).cast("long").alias(f"_{c}") for c in "spo"), "q", "true")
-    spark = queries.sparkSession
-    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return base.repartition(4 * tasks).mapInArrow(run, "s long, p long, o long, better long, equal long")
+def _spread(entities: DataFrame) -> DataFrame:
+    """The table with work for all cores."""
+    spark = entities.sparkSession
+    return written(entities, "vectors").repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def _counted(model: str, queries: DataFrame, end: str, entities: DataFrame, p: int) -> DataFrame:
+    """s, p, o, q, true, better, equal: how many entities but the one in ``end`` score above ``true``, or the same.
+
+    Queries go out in chunks; the entities stream past them in blocks and are
+    multiplied by NumPy. Scores nearer to ``true`` than rounding are computed once
+    more, number by number. Counts of all tasks are added.
+    """
+    asked = written(queries.withColumn("_query", F.monotonically_increasing_id()), "rank-queries")
+    table = _spread(entities.select("id", F.transform("v", lambda x: x.cast("double")).alias("v")))
+    out = None
+    for part in _passes(asked, "q"):
+        rows = part.select("_query", F.col(end).cast("long").alias("hidden"), "true", "q").toArrow()
+        given = (rows["_query"].to_numpy(), rows["hidden"].to_numpy(), rows["true"].to_numpy(), _vectors(rows["q"], len(rows)) if len(rows) else np.zeros((0, 1)))
+        sent = asked.sparkSession.sparkContext.broadcast(given)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            number, hidden, true, q = sent.value
+            better, equal = np.zeros((2, len(number)), np.int64)
+            for batch in batches:
+                if batch.num_rows and len(number):
+                    _compare(model, p, batch.column(0).to_numpy(), _vectors(batch.column(1), batch.num_rows), hidden, true, q, better, equal)
+            yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(better), pa.array(equal)], ["_query", "better", "equal"])
+
+        found = table.mapInArrow(run, "_query long, better long, equal long")
+        out = found if out is None else out.unionByName(found)
+    counts = out.groupBy("_query").agg(F.sum("better").alias("better"), F.sum("equal").alias("equal"))
+    return asked.join(counts, "_query").drop("_query")
+
+
+def _compare(model: str, p: int, ids: np.ndarray, e: np.ndarray, hidden: np.ndarray, true: np.ndarray, q: np.ndarray, better: np.ndarray, equal: np.ndarray) -> None:
+    """Add to ``better`` and ``equal`` what a block of entities gives."""
+    n = e.shape[1]
+    if model == "TransE" and p == 1:
+        columns, x = np.ascontiguousarray(e.T), np.empty(len(e))
+        for k in range(len(q)):
+            acc = np.zeros(len(e))
+            for y, column in zip(q[k].tolist(), columns):
+                np.subtract(y, column, out=x)
+                np.abs(x, out=x)
+                acc += x
+            acc[ids == hidden[k]] = np.inf  # the end itself is not its own rival
+            better[k] += np.count_nonzero(-acc > true[k])
+            equal[k] += np.count_nonzero(-acc == true[k])
+        return
+    squares, most = (e * e).sum(axis=1), np.sqrt((e * e).sum(axis=1).max())
+    for k in range(0, len(q), AT_ONCE):
+        a, t = q[k : k + AT_ONCE], true[k : k + AT_ONCE, None]
+        own = (a * a).sum(axis=1)[:, None]
+        product = a @ e.T
+        if model in ("TransE", "RotatE"):  # the nearer the better
+            gain, doubt = t * t - (own + squares - 2 * product), 1e-15 * n * (np.sqrt(own) + most) ** 2
+        else:
+            gain, doubt = product - t, 1e-15 * n * np.sqrt(own) * most
+        rival = ids[None, :] != hidden[k : k + AT_ONCE, None]
+        better[k : k + AT_ONCE] += ((gain > doubt) & rival).sum(axis=1)
+        row, at = np.nonzero((np.abs(gain) <= doubt) & rival)
+        exact, mine = _one_by_one(model, p, a[row], e[at]), t[row, 0]
+        better[k : k + AT_ONCE] += np.bincount(row[exact > mine], minlength=len(a))
+        equal[k : k + AT_ONCE] += np.bincount(row[exact == mine], minlength=len(a))
 
 
 def filtered_ranks(model: str, test: DataFrame, known: DataFrame, entities: DataFrame, relations: DataFrame, n: int, p: int = 1) -> DataFrame:
@@ -156,27 +201,20 @@ def filtered_ranks(model: str, test: DataFrame, known: DataFrame, entities: Data
 
     All entities are compared with each query, in blocks by NumPy; what known
     triples add to the counts is found by a join and taken off, so no pair is
-    checked against them one by one. The entities are broadcast only up to a
-    checked number; beyond it pairs are joined.
+    checked against them one by one.
     """
-    ids, columns = _columns(entities)
     out = None
     truth = known.select("s", "p", "o").distinct()
     for side, end, other, vec in (("tail", "o", "s", "h"), ("head", "s", "o", "t")):
         x = vectors_of(test.select("s", "p", "o").distinct(), entities, relations)
         x = x.select("s", "p", "o", query_vector(model, side, F.col(vec), F.col("r"), n).alias("q"), F.col("t" if side == "tail" else "h").alias("own"))
-        x = x.withColumn("true", match(model, F.col("q"), F.col("own"), p)).drop("own")
+        x = written(_counted(model, x.withColumn("true", match(model, F.col("q"), F.col("own"), p)).drop("own"), end, entities, p), "ranks")
         better, equal = F.count_if(F.col("score") > F.col("true")), F.count_if(F.col("score") == F.col("true"))
-        if ids is None:
-            scored = x.crossJoin(entities.select(F.col("id").alias("e"), F.col("v").alias("ev"))).withColumn("score", match(model, F.col("q"), F.col("ev"), p)).where(F.col("e") != F.col(end))
-            counts = scored.groupBy("s", "p", "o").agg(better.alias("better"), equal.alias("equal"))
-        else:
-            counts = _counted(model, x, end, ids, columns, p)
         facts = truth.select(F.col(other).alias(f"_{other}"), F.col("p").alias("_p"), F.col(end).alias("fact"))
         hits = x.join(facts, (F.col(other) == F.col(f"_{other}")) & (F.col("p") == F.col("_p")) & (F.col("fact") != F.col(end)))
         hits = hits.join(entities.select(F.col("id").alias("fact"), F.col("v").alias("ev")), "fact").withColumn("score", match(model, F.col("q"), F.col("ev"), p))
         off = hits.groupBy("s", "p", "o").agg(better.alias("better_known"), equal.alias("equal_known"))
-        y = counts.join(off, ["s", "p", "o"], "left").select(
+        y = x.select("s", "p", "o", "better", "equal").join(off, ["s", "p", "o"], "left").select(
             "s", "p", "o", F.lit(side).alias("side"), (1 + F.col("better") - F.coalesce("better_known", F.lit(0))).alias("optimistic"), (F.col("equal") - F.coalesce("equal_known", F.lit(0))).alias("ties")
         )
         y = y.select("s", "p", "o", "side", "optimistic", (F.col("optimistic") + F.col("ties")).alias("pessimistic"), (F.col("optimistic") + F.col("ties") / 2).alias("realistic"))
@@ -224,16 +262,52 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def nearest(anchors: DataFrame, entities: DataFrame, k: int = 10) -> DataFrame:
-    """anchor, rank, id, similarity: the k nearest by cosine, the anchor itself left out.
+    """anchor, rank, id, similarity: the k nearest by cosine, the anchor itself left out; ties by id.
 
-    Anchors are broadcast if they are few; vectors are scaled to length one once, so a
-    pair costs one product. ``anchors`` may have ``exclude``, an array of ids.
+    ``anchors`` may have ``exclude``, an array of ids. Anchors go out in chunks, the
+    entities stream past them in blocks, and every task keeps the best k of each
+    anchor. Similarities are added number by number.
     """
-    a = anchors.select(F.col("id").alias("anchor"), normalised(F.col("v")).alias("av"), F.col("exclude") if "exclude" in anchors.columns else F.array(F.col("id")).alias("exclude"))
-    e = entities.select("id", normalised(F.col("v")).alias("ev"))
-    x = e.crossJoin(small(a)).where(~F.array_contains("exclude", F.col("id"))).select("anchor", "id", _dot(F.col("av"), F.col("ev")).alias("similarity"))
-    rank = F.row_number().over(Window.partitionBy("anchor").orderBy(F.col("similarity").desc(), "id"))
-    return x.withColumn("rank", rank).where(F.col("rank") <= k)
+    left_out = F.col("exclude") if "exclude" in anchors.columns else F.array(F.col("id"))
+    asked = anchors.select(F.col("id").alias("anchor"), normalised(F.col("v")).alias("q"), F.transform(left_out, lambda x: x.cast("long")).alias("exclude"))
+    asked = written(asked.withColumn("_query", F.monotonically_increasing_id()), "anchors")
+    table = _spread(entities.select(F.col("id").cast("long").alias("id"), normalised(F.col("v")).alias("v")))
+    out = None
+    for part in _passes(asked, "q"):
+        rows = part.select("_query", "exclude", "q").toArrow()
+        given = (rows["_query"].to_numpy(), [set(x or []) for x in rows["exclude"].to_pylist()], _vectors(rows["q"], len(rows)) if len(rows) else np.zeros((0, 1)))
+        sent = asked.sparkSession.sparkContext.broadcast(given)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            number, excluded, q = sent.value
+            scores, best = np.full((len(number), k), -np.inf), np.zeros((len(number), k), np.int64)
+            for batch in batches:
+                if batch.num_rows and len(number):
+                    _keep_best(batch.column(0).to_numpy(), _vectors(batch.column(1), batch.num_rows), excluded, q, scores, best)
+            a, j = np.nonzero(np.isfinite(scores))
+            yield pa.RecordBatch.from_arrays([pa.array(number[a]), pa.array(best[a, j]), pa.array(scores[a, j])], ["_query", "id", "similarity"])
+
+        found = table.mapInArrow(run, "_query long, id long, similarity double")
+        out = found if out is None else out.unionByName(found)
+    rank = F.row_number().over(Window.partitionBy("_query").orderBy(F.col("similarity").desc(), "id"))
+    top = out.withColumn("rank", rank).where(F.col("rank") <= k)
+    return asked.select("_query", "anchor").join(top, "_query").select("anchor", "id", "similarity", "rank")
+
+
+def _keep_best(ids: np.ndarray, e: np.ndarray, excluded: list[set[int]], q: np.ndarray, scores: np.ndarray, best: np.ndarray) -> None:
+    """Take a block of entities into the best so far."""
+    k = scores.shape[1]
+    for a in range(0, len(q), AT_ONCE):
+        product = q[a : a + AT_ONCE] @ e.T
+        for j, line in enumerate(product, a):
+            wide = k + len(excluded[j])  # those left out may be among the nearest
+            low = np.partition(line, -wide)[-wide] if wide < len(line) else -np.inf
+            at = np.flatnonzero(line >= max(scores[j, -1], low) - 1e-9)
+            at = at[np.array([x not in excluded[j] for x in ids[at].tolist()], bool)]
+            own = np.concatenate([scores[j], _one_by_one("DistMult", 1, np.broadcast_to(q[j], (len(at), q.shape[1])), e[at])])
+            names = np.concatenate([best[j], ids[at]])
+            order = np.lexsort((names, -own))[:k]
+            scores[j], best[j] = own[order], names[order]
 
 
 def anchor_matrix(anchors: DataFrame) -> DataFrame:
