@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
+from urllib.parse import parse_qs, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +20,7 @@ from quillgraph.schemas import NAMESPACE as NS
 from quillgraph.schemas import OWL, RDF, RDFS, SKOS, WD, WDT, XSD
 from quillgraph.schemas import TRIPLES as SCHEMA
 from quillgraph.session import shared_folder, written
-from quillgraph.sources import jsonl, ntriples, pages, tables, turtle
+from quillgraph.sources import jsonl, ntriples, pages, remote, tables, turtle
 from quillgraph.streaming import ingest
 
 
@@ -178,6 +180,45 @@ def stream_lines(spark, sf_dir):
     return spark.read.schema(SCHEMA).parquet(f"{place}/graph").groupBy("p", "o_kind").agg(F.count("*").alias("n"))
 
 
+def _service(address: str, body: bytes | None = None) -> bytes:
+    """A stand-in for a search service and a SPARQL endpoint: what it answers depends on the request alone."""
+    asked = parse_qs((body or urlparse(address).query.encode()).decode())
+    if "search" in asked:
+        label = asked["search"][0]
+        if label.endswith("n"):
+            raise OSError(label)
+        return json.dumps({"search": [{"id": f"Q{len(label)}", "label": label.upper(), "description": "first"}, {"id": "Q1", "label": label}]}).encode()
+    uris = re.findall(r"<([^>]*#[^>]*)>", asked["query"][0].split(RDFS)[0])
+    if "VALUES" in asked["query"][0]:
+        rows = [{"s": {"type": "uri", "value": u}, "l": {"type": "literal", "xml:lang": "en", "value": "label of " + u.split("#")[1]}} for u in uris if not u.endswith("7")]
+    else:
+        rows = [{"p": {"type": "uri", "value": NS + "same"}, "o": {"type": "uri", "value": uris[0]}}, {"p": {"type": "uri", "value": RDFS + "label"}, "o": {"type": "literal", "xml:lang": "en", "value": uris[0].split("#")[1]}}]
+    return json.dumps({"results": {"bindings": rows}}).encode()
+
+
+@query(
+    "searched_candidates",
+    """WITH n AS (SELECT DISTINCT p_name AS label FROM part WHERE p_name NOT LIKE '%n')
+    SELECT label, 1 AS rank, 'Q' || length(label) AS qid, upper(label) AS wd_label, 'first' AS wd_desc FROM n UNION ALL SELECT label, 2, 'Q1', label, NULL FROM n""",
+)
+def searched_candidates(spark, sf_dir):
+    """Part names looked up at a service that fails for some of them."""
+    return remote.search(t(spark, sf_dir, "part").select(F.col("p_name").alias("label")), "http://example.org/search", _service)
+
+
+@query("remote_claims", f"SELECT '{NS}Nation' || n_nationkey AS s, '{NS}same' AS p, '{NS}Nation' || n_nationkey AS o, NULL AS o_lang FROM nation UNION ALL SELECT '{NS}Nation' || n_nationkey, '{RDFS}label', 'Nation' || n_nationkey, 'en' FROM nation")
+def remote_claims(spark, sf_dir):
+    """What an endpoint knows of the nations, as triples."""
+    seeds = t(spark, sf_dir, "nation").select(bridge.uri("Nation", "n_nationkey").alias("uri"))
+    return remote.claims(seeds, "http://example.org/sparql", 10, _service).select("s", "p", "o", "o_lang")
+
+
+@query("remote_labels", f"SELECT '{NS}Customer' || c_custkey AS uri, 'label of Customer' || c_custkey AS label FROM customer WHERE c_custkey % 10 <> 7")
+def remote_labels(spark, sf_dir):
+    """Labels of all customers, fifty in a request; some have none."""
+    return remote.labels(t(spark, sf_dir, "customer").select(bridge.uri("Customer", "c_custkey").alias("uri")), "http://example.org/sparql", _service)
+
+
 # --- documents, mentions, graph ---------------------------------------------------------------------
 
 

@@ -18,6 +18,8 @@ from quillgraph.schemas import LITERAL, NAMESPACE, OWL, RDF, RDFS, XSD
 
 Model = Callable[[str], str]
 PREDICATES, CLASSES, SAMPLES, ENTITIES, REPAIRS, SHOWN = 60, 20, 15, 30, 2, 20
+#: Rows of an answer that come to the driver; that there are more is said.
+MOST_ROWS = 10_000
 #: What a summary leaves out: the ontology's own machinery.
 SKIPPED = (OWL + "imports", OWL + "inverseOf", OWL + "subPropertyOf", RDFS + "subClassOf", RDFS + "domain", RDFS + "range", RDFS + "subPropertyOf")
 LISTED = ("VCFirm", "Company", "Person", "FundingRound", "ExitEvent", "Sector")
@@ -100,9 +102,22 @@ Use only the prefixes that the summary declares and entity names that it lists.
 Do not use SERVICE, BIND or VALUES. Give labels in English:
 FILTER (langMatches(lang(?label), "en")). Answer with a single ```sparql code block."""
 
+#: Questions of the three shapes that come up, worked: what a name links to, what links to a name, members of a class with a number.
+EXAMPLES = (
+    ("Where does Ann Example work?", 'SELECT ?label WHERE {{ {name}:AnnExample {name}:worksAt ?place . ?place rdfs:label ?label FILTER (langMatches(lang(?label), "en")) }}'),
+    ("Who works at Example Works?", 'SELECT DISTINCT ?label WHERE {{ ?person {name}:worksAt {name}:ExampleWorks ; rdfs:label ?label FILTER (langMatches(lang(?label), "en")) }}'),
+    ("How many people work at each place?", "SELECT ?place (COUNT(?person) AS ?n) WHERE {{ ?person {name}:worksAt ?place }} GROUP BY ?place ORDER BY DESC(?n)"),
+)
+
+
+def worked(namespace: str = NAMESPACE, name: str = "kg") -> str:
+    """The worked examples, with the prefixes that a summary declares."""
+    head = prefix_block({p: ns for p, ns in prefixes(namespace, name).items() if p in (name, "rdfs")})
+    return "\n\n".join(f"QUESTION: {q}\n```sparql\n{head}\n{text.format(name=name)}\n```" for q, text in EXAMPLES)
 
-def prompt(schema: str, question: str) -> str:
-    return f"{INSTRUCTIONS}\n\nSUMMARY:\n{schema}\n\nQUESTION:\n{question}\n"
+
+def prompt(schema: str, question: str, namespace: str = NAMESPACE, name: str = "kg") -> str:
+    return f"{INSTRUCTIONS}\n\nEXAMPLES (of another graph):\n{worked(namespace, name)}\n\nSUMMARY:\n{schema}\n\nQUESTION:\n{question}\n"
 
 
 def repair_prompt(schema: str, question: str, query: str, error: str) -> str:
@@ -115,24 +130,28 @@ def extracted(text: str) -> str:
     return (block[1] if block else text).strip()
 
 
-def rows_of(graph: DataFrame, query: str) -> tuple[list[str], list[tuple[str, ...]]]:
-    """Names and rows as strings; an unbound cell is the string None. A query's result is what a person reads, so it comes to the driver."""
+def rows_of(graph: DataFrame, query: str, most: int = MOST_ROWS) -> tuple[list[str], list[tuple[str, ...]], bool]:
+    """Names, rows as strings (an unbound cell is the string None), and whether there were more than ``most``.
+
+    A result is what a person reads, so it comes to the driver, but never more of it than that.
+    """
     df = sparql.select(graph, query)
-    return df.columns, [tuple("None" if c is None else str(c) for c in r) for r in df.collect()]
+    rows = [tuple("None" if c is None else str(c) for c in r) for r in df.limit(most + 1).collect()]
+    return df.columns, rows[:most], len(rows) > most
 
 
 def answer(graph: DataFrame, schema: str, question: str, model: Model, repairs: int = REPAIRS) -> dict:
-    """question, sparql, vars, rows, repairs, error. Errors go back to the model; an empty result is no error."""
+    """question, sparql, vars, rows, truncated, repairs, error. Errors go back to the model; an empty result is no error."""
     query, error = extracted(model(prompt(schema, question))), None
     for attempt in range(repairs + 1):
         try:
-            names, rows = rows_of(graph, query)
-            return {"question": question, "sparql": query, "vars": names, "rows": [list(r) for r in rows], "repairs": attempt, "error": None}
+            names, rows, more = rows_of(graph, query)
+            return {"question": question, "sparql": query, "vars": names, "rows": [list(r) for r in rows], "truncated": more, "repairs": attempt, "error": None}
         except Exception as e:  # whatever fails, the model may mend
             error = str(e)
         if attempt < repairs:
             query = extracted(model(repair_prompt(schema, question, query, error)))
-    return {"question": question, "sparql": query, "vars": [], "rows": [], "repairs": repairs, "error": error}
+    return {"question": question, "sparql": query, "vars": [], "rows": [], "truncated": False, "repairs": repairs, "error": error}
 
 
 def baseline(question: str, model: Model) -> str:
