@@ -141,12 +141,12 @@ def codewords(lengths: np.ndarray) -> np.ndarray:
     """The bits of each symbol's word, the first bit lowest; a single symbol needs none."""
     words = np.zeros(len(lengths), np.int64)
     code, last = 0, 0
-    for symbol in np.lexsort((np.arange(len(lengths)), lengths)).tolist():
-        n = int(lengths[symbol])
-        if n:
-            code <<= n - last
-            words[symbol] = int(f"{code:0{n}b}"[::-1], 2)
-            code, last = code + 1, n
+    used = np.flatnonzero(lengths)
+    order = used[np.argsort(lengths[used], kind="stable")]
+    for symbol, n in zip(order.tolist(), lengths[order].tolist()):
+        code <<= n - last
+        words[symbol] = int(f"{code:0{n}b}"[::-1], 2)
+        code, last = code + 1, n
     return words
 
 
@@ -339,6 +339,22 @@ def _unpacked(pixels: np.ndarray, colours: np.ndarray, width: int) -> np.ndarray
 # --- decoding -------------------------------------------------------------------------------
 
 
+def _chain(steps: np.ndarray, at: int, n: int) -> np.ndarray:
+    """Where the first n words and the one after them begin; eight words are passed at a time."""
+    hop = np.minimum(np.arange(len(steps), dtype=np.int32) + steps, np.int32(len(steps) - 1))
+    far, spots = hop, []
+    for _ in range(3):
+        far = far.take(far)
+    view, put = memoryview(far), spots.append
+    for _ in range(n // 8 + 1):
+        put(at)
+        at = view[at]
+    rows = [np.array(spots, np.int32)]
+    for _ in range(7):
+        rows.append(hop.take(rows[-1]))
+    return np.stack(rows, axis=1).ravel()[: n + 1]
+
+
 def _greens(bits: Bits, code: Code, distance: Code, rest: list[Code], n: int, width: int) -> np.ndarray | None:
     """n pixels whose green comes from one code and whose other channels are constant.
 
@@ -354,7 +370,13 @@ def _greens(bits: Bits, code: Code, distance: Code, rest: list[Code], n: int, wi
     raw = np.frombuffer(data, np.uint8)[start:].astype(np.uint32)
     raw = raw[:-2] | raw[1:-1] << np.uint32(8) | raw[2:] << np.uint32(16)
     window = (raw[:, None] >> np.arange(8, dtype=np.uint32) & np.uint32((1 << code.most) - 1)).ravel()
-    steps, values = code.marked()[window].tobytes(), code.symbols.astype(np.uint8)[window].tobytes()
+    if code.symbols.max() < LITERALS:
+        at = _chain(code.lengths.take(window), bits.at & 7, n)
+        if at[n] >= len(window) - 64:
+            raise ValueError("the image ends too early")
+        bits.at = 8 * start + int(at[n])
+        return code.symbols.astype(np.uint32).take(window.take(at[:n])) << np.uint32(8) | np.uint32(alpha << 24 | red << 16 | blue)
+    steps, values = code.marked().take(window).tobytes(), code.symbols.astype(np.uint8).take(window).tobytes()
     at, end, out = bits.at & 7, len(steps) - 64, bytearray()
     put, near = out.append, [max(1, x + y * width) for x, y in near_offsets()]
     far, far_sizes, mask = distance.symbols.tolist(), distance.lengths.tolist(), (1 << distance.most) - 1
@@ -556,7 +578,11 @@ def _write_entropy(out: Writer, pixels: np.ndarray, main: bool, plan: Plan) -> l
 
 
 def _wrapped(bits: np.ndarray) -> bytes:
-    body = b"\x2f" + np.packbits(bits, bitorder="little").tobytes()
+    return _framed(np.packbits(bits, bitorder="little").tobytes())
+
+
+def _framed(data: bytes) -> bytes:
+    body = b"\x2f" + data
     chunk = b"VP8L" + struct.pack("<I", len(body)) + body + b"\0" * (len(body) & 1)
     return b"RIFF" + struct.pack("<I", 4 + len(chunk)) + b"WEBP" + chunk
 
@@ -603,7 +629,7 @@ def encode(pixels: np.ndarray, plan: Plan | None = None) -> bytes:
 # --- encoding bytes -------------------------------------------------------------------------
 
 #: Shortest and longest reference, and the gain that a compressor must promise before references are tried.
-LEAST_MATCH, MOST_MATCH, GAIN = 6, 4096, 0.85
+LEAST_MATCH, MOST_MATCH, GAIN = 6, 4096, 0.8
 #: Colours that a palette packs, and the correlation from which bytes are taken as the channels of a pixel.
 PACKED, ALIKE = 16, 0.95
 
@@ -687,20 +713,14 @@ class _Greens:
         return int(lengths[symbols].sum(dtype=np.int64)) if np.count_nonzero(lengths) > 1 else 0
 
     def written(self) -> bytes:
-        first = self._words(self.fields[0], self.lengths)
-        if len(self.fields) == 1:
-            values, sizes = (x[:, None] for x in first)
-        else:
+        values, sizes = self._words(self.fields[0], self.lengths)
+        if len(self.fields) > 1:
             _, m, more, far, far_more = self.fields
-            values, sizes = np.zeros((2, len(self.fields[0]), 4), np.int64)
-            (values[:, 0], sizes[:, 0]), (values[m, 1], sizes[m, 1]), (values[m, 3], sizes[m, 3]) = first, more, far_more
-            values[m, 2], sizes[m, 2] = self._words(far, self.far_lengths)
-        most, parts = int(sizes.max(initial=0)), [self.head.bits()]
-        for k in range(0, len(values), 1 << 15):
-            v, n = values[k : k + (1 << 15)].ravel(), sizes[k : k + (1 << 15)].ravel()
-            v, n = v[n > 0], n[n > 0]
-            parts.append((v[:, None] >> np.arange(most) & 1).astype(np.uint8)[np.arange(most) < n[:, None]])
-        return _wrapped(np.concatenate(parts))
+            every, widths = np.zeros((2, len(values), 4), np.int64)
+            (every[:, 0], widths[:, 0]), (every[m, 1], widths[m, 1]), (every[m, 3], widths[m, 3]) = (values, sizes), more, far_more
+            every[m, 2], widths[m, 2] = self._words(far, self.far_lengths)
+            values, sizes = every.ravel(), widths.ravel()
+        return _joined_bits(self.head, values, sizes)
 
     @staticmethod
     def _words(symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -709,6 +729,18 @@ class _Greens:
         return codewords(lengths)[symbols], lengths[symbols].astype(np.int64)
 
 
+def _joined_bits(head: Writer, values: np.ndarray, sizes: np.ndarray) -> bytes:
+    """The image of a head and fields of up to 24 bits: each falls into one or two of the words of 32, whose parts add up."""
+    ends = head.n + np.cumsum(sizes)
+    at = ends - sizes
+    n = int(ends[-1] >> 5) + 2 if len(ends) else (head.n >> 5) + 2
+    moved = values << (at & 31)
+    words = np.bincount(at >> 5, moved & 0xFFFFFFFF, n)[:n] + np.bincount((at >> 5) + 1, moved >> 32, n)[:n]
+    data = np.bitwise_or(words.astype("<u4"), np.frombuffer(head.value.to_bytes(4 * n, "little"), "<u4"))
+    total = int(ends[-1]) if len(ends) else head.n
+    return _framed(data.tobytes()[: (total + 7) // 8])
+
+
 def _green_head(samples: np.ndarray, kind: int | None = None) -> tuple[Writer, np.ndarray, int, int]:
     """(head, green bytes, width, alpha) of grey samples: as they are, predicted by LEFT or TOP, or packed by a palette."""
     height, width = samples.shape
@@ -749,11 +781,9 @@ def residuals(samples: np.ndarray, mode: int) -> np.ndarray:
 
 def _coloured(samples: np.ndarray) -> list[bytes]:
     """Images of four bytes a pixel, where red or blue follows green; none if they don't."""
-    four = samples.reshape(-1, 4)
-    last = four[-16:]
-    four = np.concatenate([four[:-16], last[last.any(axis=1)]]).astype(np.float32)  # padding tells nothing
-    if len(four) < 8:
+    if len(samples) < 2:
         return []
+    four = samples[:-1].reshape(-1, 4).astype(np.float32)  # the last row's padding tells nothing
     four -= four.mean(axis=0)
     cov = four.T @ four
     spread = np.sqrt(np.maximum(np.diag(cov), 1e-6))
