@@ -659,15 +659,19 @@ def bernoulli_stats(spark, sf_dir):
     return embeddings.bernoulli_stats(bridge.edges(spark, sf_dir)).select("p", r("tph"), r("hpt"), r("head_probability"))
 
 
-@query("negatives", "SELECT id % 3 AS p, 4 * count(*) AS n, 4 * count(*) AS kept FROM (SELECT vec_id AS id FROM embeddings) GROUP BY 1")
+_DRAW = "('0x' || substr(md5(s || '|' || tr.p || '|' || o || '|' || k || '|42|{}'), 1, 8))::UBIGINT::BIGINT"
+
+
+@query(
+    "negatives",
+    f"""WITH {SPACE}, a AS (SELECT p, avg(k) AS tph FROM (SELECT p, s, count(DISTINCT o) AS k FROM tr GROUP BY ALL) GROUP BY p), b AS (SELECT p, avg(k) AS hpt FROM (SELECT p, o, count(DISTINCT s) AS k FROM tr GROUP BY ALL) GROUP BY p),
+    d AS (SELECT s, tr.p, o, k, {_DRAW.format("side")} / 4294967296.0::DOUBLE < tph / (tph + hpt) AS head, ({_DRAW.format("entity")} * n) >> 32 AS other FROM tr JOIN a ON tr.p = a.p JOIN b ON tr.p = b.p, n, range(4) AS r(k))
+    SELECT CASE WHEN head THEN other ELSE s END AS s, p, CASE WHEN head THEN o ELSE other END AS o, k::INT AS k FROM d""",
+)
 def negatives(spark, sf_dir):
-    """Each triple is corrupted four times; the relation and one end stay."""
+    """Each triple is corrupted four times: which end, and by which entity."""
     e, _, triples = _space(spark, sf_dir)
-    out = embeddings.negatives(triples, e, 4)
-    ends = triples.select(F.col("s").alias("_s"), F.col("p").alias("_p"), F.col("o").alias("_o"))
-    both = out.join(ends, (F.col("p") == F.col("_p")) & ((F.col("s") == F.col("_s")) | (F.col("o") == F.col("_o")))).select("s", "p", "o", "k").distinct()
-    found = both.groupBy("p").agg(F.count("*").alias("_n"))
-    return out.groupBy("p").agg(F.count("*").alias("n")).join(found, "p").select("p", "n", F.col("n").alias("kept"))
+    return embeddings.negatives(triples, e, 4)
 
 
 KNN = "a AS (SELECT id, v FROM e WHERE id IN (1, 7, 42)), s AS (SELECT a.id AS anchor, e.id, list_cosine_similarity(a.v, e.v) AS c FROM a JOIN e ON a.id <> e.id)"

@@ -240,11 +240,14 @@ def bernoulli_stats(triples: DataFrame) -> DataFrame:
 
 
 def negatives(triples: DataFrame, entities: DataFrame, per: int = 256, seed: int = 42) -> DataFrame:
-    """s, p, o, k: ``per`` corruptions of each triple, the end by the relation's probability, the entity by hash. Entities: id from 0 without gaps."""
+    """s, p, o, k: ``per`` corruptions of each triple, the end by the relation's probability, the entity by hash. Entities: id from 0 without gaps.
+
+    Draws are 32 bits of an MD5 sum of triple, number, seed and purpose: the same on every engine.
+    """
     n = entities.count()
-    draw = lambda salt: F.pmod(F.xxhash64("s", "p", "o", "k", F.lit(seed), F.lit(salt)), F.lit(1 << 30)) / F.lit(1 << 30)
+    draw = lambda salt: F.conv(F.substring(F.md5(F.concat_ws("|", "s", "p", "o", "k", F.lit(seed), F.lit(salt)).cast("binary")), 1, 8), 16, 10).cast("long")
     x = triples.select("s", "p", "o").join(small(bernoulli_stats(triples).select("p", "head_probability")), "p").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(per - 1))))
-    head, other = draw("side") < F.col("head_probability"), F.floor(draw("entity") * n).cast("long")
+    head, other = draw("side") / F.lit(float(1 << 32)) < F.col("head_probability"), F.shiftright(draw("entity") * F.lit(n), 32)
     return x.select(F.when(head, other).otherwise(F.col("s")).alias("s"), "p", F.when(head, F.col("o")).otherwise(other).alias("o"), "k")
 
 
