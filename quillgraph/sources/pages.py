@@ -1,7 +1,8 @@
 """Web pages: from a table, or fetched politely; their text and title.
 
-The main-text extraction is an approximation by regular expressions: scripts,
-styles, navigation and the like go, then all tags; it isn't a readability model.
+Two ways lead to a page's main text: ``main_text`` is a column expression (scripts,
+styles, navigation and the like go, then all tags), ``article.article_text`` weighs
+the page's elements. Readers take either as ``extract``.
 """
 
 from __future__ import annotations
@@ -37,9 +38,9 @@ def host(url: Column) -> Column:
     return F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.lit(""))
 
 
-def raw_documents(pages: DataFrame) -> DataFrame:
+def raw_documents(pages: DataFrame, extract: Callable[[Column], Column] = main_text) -> DataFrame:
     """Raw documents of a table (url, html): empty pages are errors."""
-    text = F.coalesce(main_text(F.col("html")), F.lit(""))
+    text = F.coalesce(extract(F.col("html")), F.lit(""))
     ok = F.col("html").isNotNull()
     rows = pages.select("url", "html", text.alias("text"))
     return rows.select(
@@ -66,7 +67,7 @@ class Robots:
         return self.known[site].can_fetch(self.agent, url)
 
 
-def crawl(urls: DataFrame, fetch: Callable[[str], str], agent: str = "graph-reader/1.0", pause: float = 2.0) -> DataFrame:
+def crawl(urls: DataFrame, fetch: Callable[[str], str], agent: str = "graph-reader/1.0", pause: float = 2.0, extract: Callable[[Column], Column] = main_text) -> DataFrame:
     """Raw documents of a table (url). A site's pages are in one task, which pauses between them.
 
     ``fetch`` gets an address and returns HTML; it raises LookupError for an
@@ -94,7 +95,7 @@ def crawl(urls: DataFrame, fetch: Callable[[str], str], agent: str = "graph-read
 
     got = urls.select("url").repartition(host(F.col("url"))).mapInPandas(run, "url string, html string, status string")
     ok = F.col("status") == "ok"
-    found = got.withColumn("text", F.when(ok, main_text(F.col("html"))).otherwise(""))
+    found = got.withColumn("text", F.when(ok, extract(F.col("html"))).otherwise(""))
     return found.select("url", F.when(ok, title(F.col("html"))).alias("title"), "text", F.when(ok, F.length("text")).alias("char_count"), "status")
 
 
