@@ -112,12 +112,12 @@ def _site(url: str) -> str:
 @query(
     "crawl_pages",
     """WITH u AS (SELECT DISTINCT url FROM pages WHERE url IS NOT NULL), x AS (SELECT url, CASE WHEN contains(split_part(url, '/', 3), '1') THEN 'blocked_by_robots' WHEN url LIKE '%3' THEN 'http_error' WHEN url LIKE '%4' THEN 'error' ELSE 'ok' END AS status FROM u)
-    SELECT url, status, CASE WHEN status = 'ok' THEN 'Page ' || url END AS title, CASE WHEN status = 'ok' THEN 'Text of ' || url ELSE '' END AS text, CASE WHEN status = 'ok' THEN length('Text of ' || url)::INT END AS char_count FROM x""",
+    SELECT url, status, CASE WHEN status = 'ok' THEN 'Page ' || url END AS title, CASE WHEN status = 'ok' THEN 'Text of ' || url ELSE '' END AS text, CASE WHEN status = 'ok' THEN length('Text of ' || url)::INT ELSE 0 END AS char_count FROM x""",
 )
 def crawl_pages(spark, sf_dir):
     """All addresses, fetched by the rules of their sites."""
     urls = t(spark, sf_dir, "pages").select("url").where("url is not null").distinct()
-    return pages.crawl(urls, _site, pause=0.0).select("url", "status", "title", "text", "char_count")
+    return pages.crawl(urls, _site, pause=0.0).select("url", "status", "title", "text", F.coalesce("char_count", F.lit(0)).alias("char_count"))
 
 
 _DROPPED = ("script", "style", "nav", "header", "footer", "aside", "form", "noscript", "template", "table", "head")
