@@ -211,12 +211,21 @@ def fit(triples: DataFrame, config: Config, entities: int, relations: int, parti
 
         made = dealt.coalesce(partitions).mapInArrow(run, STATE)
         blocks = written(made.groupBy("name", "block").applyInArrow(_averaged, STATE), "train-state")
-        sent.unpersist()
-        found = {(r.name, r.block): np.frombuffer(bytes(r.data)) for r in blocks.collect()}  # one copy of the state
-        if not found:
+        sent.destroy()
+        state = {n: np.empty(shape) for n, shape in shapes.items()}
+        loss = None
+        for r in blocks.select("name", "block", "data").toLocalIterator():  # one copy of the state, a task's share at a time
+            data = np.frombuffer(bytes(r.data))
+            if r.name == "loss":
+                loss = float(data[0])
+            else:
+                at = r.block * BLOCK
+                part = data.reshape(-1, shapes[r.name][1])
+                state[r.name][at : at + len(part)] = part
+        if loss is None:
+            state = {n: _packed(x, Adam(x.shape, config.rate)) for n, x in start(config, entities, relations).items()}
             break
-        state = {n: np.concatenate([found[n, b] for b in range(-(-rows // BLOCK))]).reshape(rows, -1) for n, (rows, _) in shapes.items()}
-        losses.append(float(found["loss", 0][0]))
+        losses.append(loss)
     if blocks is None or not losses:  # no epochs or no triples: the state as it starts
         rows = [(n, at // BLOCK, 0, x[at : at + BLOCK].tobytes()) for n, x in state.items() for at in range(0, len(x), BLOCK)]
         blocks = spark.createDataFrame(rows, STATE)
