@@ -284,6 +284,54 @@ def test_partitions_draw_their_own_numbers(spark, monkeypatch):
     assert params["e"].shape == (13, 2) and len(losses) == 1 and not np.allclose(params["e"], one["e"])
 
 
+@pytest.mark.parametrize("model", embeddings.MODELS)
+def test_steps_that_do_not_meet_are_made_together(model, monkeypatch):
+    """The entities of each batch are its own, so scoring the batches at once moves them as one by one; a relation takes the mean."""
+    config = trainer.smaller(trainer.CONFIGS[model], dim=3, epochs=1, batch=2, negatives=2, rate=0.1)
+    triples = np.array([(2 * k, 0, 2 * k + 1) for k in range(8)])
+    before = trainer.packed(trainer.start(config, 10_000, 1))
+    apart, at_once = before.copy(), before.copy()
+
+    class Draws:  # batch k draws 1000 + 4 k and on
+        def __init__(self):
+            self.next = 1000
+
+        def permutation(self, n):
+            return np.arange(n)
+
+        def integers(self, low, high, shape):
+            self.next += np.prod(shape)
+            return np.arange(self.next - np.prod(shape), self.next).reshape(shape)
+
+        def random(self, shape):
+            return np.resize([0.1, 0.9], shape)
+
+    monkeypatch.setattr(trainer, "_adam", lambda rows, g, rate: np.subtract(rows[:, : g.shape[1]], rate * g, out=rows[:, : g.shape[1]]))
+    for k in range(0, 8, 2):  # each batch from the start
+        now, draws = before.copy(), Draws()
+        draws.next += 2 * k
+        trainer.epoch(config, now, 10_000, triples[k : k + 2], np.array([0.5]), draws, group=1)
+        apart[:10_000] += now[:10_000] - before[:10_000]
+        apart[10_000:] += (now[10_000:] - before[10_000:]) / 4
+    trainer.epoch(config, at_once, 10_000, triples, np.array([0.5]), Draws(), group=4)
+    assert np.allclose(apart[:10_000], at_once[:10_000], atol=1e-5) and not np.allclose(before[:10_000], at_once[:10_000], atol=1e-5)
+    assert model == "RotatE" or np.allclose(apart[10_000:], at_once[10_000:], atol=1e-5)  # whose relations are brought back to length 1
+
+
+def test_only_the_last_state_is_kept(spark):
+    """Small graphs are trained step by step; a large one's steps are made together; no round's state outlives the next."""
+    from pathlib import Path
+
+    from quillgraph.session import shared_folder
+
+    config = trainer.Config("TransE", dim=2, epochs=4, batch=4, negatives=2, rate=0.1)
+    assert trainer.together(config, 100) == 1 and trainer.together(config, 10**6) > 1
+    folder = Path(shared_folder(spark).removeprefix("file://"))
+    before = set(folder.glob("train-state-*"))
+    trainer.fit(spark.createDataFrame([(0, 0, 1), (1, 0, 2)], "s long, p long, o long"), config, 3, 1)
+    assert len(set(folder.glob("train-state-*")) - before) == 1
+
+
 def test_training_without_triples_gives_the_start(spark):
     config = trainer.Config("TransE", dim=2, epochs=2)
     params, losses, _ = trainer.train(spark.createDataFrame([], "s long, p long, o long"), config, 3, 1)
