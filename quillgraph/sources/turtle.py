@@ -1,4 +1,4 @@
-"""Turtle and RDF/XML: ontologies and graphs, a file parsed in one piece where it is read; Turtle is written by Spark."""
+"""Turtle and RDF/XML: ontologies and graphs, a file parsed where it is read, Turtle statement by statement; Turtle is written by Spark."""
 
 from __future__ import annotations
 
@@ -6,26 +6,65 @@ import re
 import xml.etree.ElementTree as ET
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.plans.sparql_parser import Group, Parser, SparqlError, Term, Var
+from quillgraph.plans.sparql_parser import Group, Parser, SparqlError, Term, Var, token, unescaped
 from quillgraph.schemas import BLANK, LITERAL, RDF, TRIPLES, URI, XSD
 from quillgraph.sources.ntriples import _escaped
 
 #: Triples that a batch of a parsed file holds.
 PARSED = 50_000
+#: Subjects in a file that is written.
+SUBJECTS = 10_000
+_URI, _STRING = r'<[A-Za-z][\w+.-]*:[^<>"{}|^`\\\x00-\x20]*+>', r'"(?:[^"\\\n]|\\.)*+"(?!")'
+_OBJECT = rf"(?:{_URI}|{_STRING}(?:@[A-Za-z]+(?:-[A-Za-z0-9]+)*+|\^\^{_URI})?+)"
+_PREDICATE = rf"(?:a|{_URI})\s++{_OBJECT}(?:\s*+,\s*+{_OBJECT})*+"
+#: A statement of whole names and short strings, and its parts: separators, names, strings with a language or a type.
+PLAIN = re.compile(rf"\s*+({_URI})\s++({_PREDICATE}(?:\s*+;\s*+{_PREDICATE})*+)\s*+\.(?![\w.])")
+PARTS = re.compile(rf'([,;])|(a)(?=\s)|<([^>]*+)>|"((?:[^"\\\n]|\\.)*+)"(?:@([A-Za-z0-9-]++)|\^\^<([^>]*+)>)?+')
 Row = tuple[str, str, str, str, str | None, str | None]
 
 
 class _Turtle(Parser):
     """Statements share the query language's terms and property lists."""
 
-    def document(self) -> list[tuple]:
-        found = Group()
-        while self.now[0] != "end":
+    def __init__(self, text: str):
+        super().__init__("")
+        self.text, self.place, self.toks = text, 0, []
+
+    @property
+    def now(self) -> tuple[str, str]:
+        """The next token; the tokens of one statement are held at a time."""
+        if self.at == len(self.toks):
+            self.toks, self.at = self.toks[-1:], min(self.at, 1)
+            while not self.toks[self.at :] or self.toks[-1] not in (("sign", "."), ("end", "")):
+                self.place, found = token(self.text, self.place)
+                if found:
+                    self.toks.append(found)
+        return self.toks[self.at]
+
+    def statements(self) -> Iterator[Row]:
+        """The rows in the order written. Statements of whole names and short strings are read by one pattern, others by the grammar."""
+        while True:
+            while self.at == len(self.toks) and (m := PLAIN.match(self.text, self.place)):
+                self.place = m.end()
+                s, p, kept = m[1][1:-1], "", True
+                for sign, a, name, string, lang, dtype in PARTS.findall(m[2]):
+                    if sign:
+                        kept = sign == ";"
+                    elif kept:
+                        p, kept = RDF + "type" if a else name, False
+                    elif name:
+                        yield s, p, name, URI, None, None
+                    else:
+                        yield s, p, unescaped(string) if "\\" in string else string, LITERAL, lang.lower() or None, dtype or None
+            if self.now[0] == "end":
+                return
+            found = Group()
             directive = self.now[0] == "lang" and self.now[1][1:] or (self.now[1].lower() if self.ahead("PREFIX", "BASE") else None)
             if directive in ("prefix", "base"):
                 old = self.now[0] == "lang"
@@ -40,7 +79,10 @@ class _Turtle(Parser):
                 continue
             self.triples(found)
             self.need(".")
-        return found.elements
+            for _, s, p, o in found.elements:
+                if not isinstance(p, Term) or any(isinstance(x, Var) and not x.name.startswith("_:") for x in (s, o)):
+                    raise SparqlError("a graph has no variables or paths")
+                yield _name(s), p.value, _name(o), BLANK if isinstance(o, Var) else o.kind, getattr(o, "lang", "") or None, getattr(o, "dtype", "") or None
 
     def node(self, g: Group):
         if self.sign("("):  # a collection is a chain of blank nodes
@@ -57,12 +99,7 @@ class _Turtle(Parser):
 
 
 def parse_turtle(text: str) -> list[Row]:
-    rows = []
-    for _, s, p, o in _Turtle(text).document():
-        if not isinstance(p, Term) or any(isinstance(x, Var) and not x.name.startswith("_:") for x in (s, o)):
-            raise SparqlError("a graph has no variables or paths")
-        rows.append((_name(s), p.value, _name(o), BLANK if isinstance(o, Var) else o.kind, getattr(o, "lang", "") or None, getattr(o, "dtype", "") or None))
-    return list(dict.fromkeys(rows))
+    return list(dict.fromkeys(_Turtle(text).statements()))
 
 
 def _name(x) -> str:
@@ -140,7 +177,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """The triples of a Turtle or RDF/XML file, or of all files of a folder or pattern, read through Spark so that any store will do.
 
     Files are parsed where they are read, by their own ending or the path's
-    (``.ttl``, or else RDF/XML); a file fits in memory, their number is unbounded.
+    (``.ttl``, or else RDF/XML); a file's text fits in memory, its triples and the
+    number of files are unbounded. A triple that several statements have is one.
     Blank nodes belong to their file: with several files their names tell which.
     The part files of one graph that Spark has written are one file in this.
     """
@@ -149,16 +187,16 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text, file in zip(batch.column("value").to_pylist(), batch.column("file").to_pylist()):
-                rows = parse_turtle(text) if turtle or file.endswith(".ttl") else parse_rdfxml(text)
+            for text, file in zip(batch.column("value"), batch.column("file")):
+                text, file = text.as_py(), file.as_py()
+                rows = _Turtle(text).statements() if turtle or re.search(r"\.ttl(\.gz)?$", file) else iter(parse_rdfxml(text))
                 if several and not file.rpartition("/")[2].startswith("part-"):
                     scope = f"_:f{zlib.crc32(file.encode()):08x}"
-                    rows = [(s.replace("_:", scope, 1) if s[:2] == "_:" else s, p, o.replace("_:", scope, 1) if kind == BLANK else o, kind, lang, dtype) for s, p, o, kind, lang, dtype in rows]
-                for k in range(0, len(rows), PARSED):
-                    columns = zip(*rows[k : k + PARSED])
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["s", "p", "o", "o_kind", "o_lang", "o_dtype"])
+                    rows = ((s.replace("_:", scope, 1) if s[:2] == "_:" else s, p, o.replace("_:", scope, 1) if kind == BLANK else o, kind, lang, dtype) for s, p, o, kind, lang, dtype in rows)
+                while some := list(islice(rows, PARSED)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*some)], ["s", "p", "o", "o_kind", "o_lang", "o_dtype"])
 
-    return texts.select("value", F.col("_metadata.file_path").alias("file")).mapInArrow(run, TRIPLES)
+    return texts.select("value", F.col("_metadata.file_path").alias("file")).mapInArrow(run, TRIPLES).dropDuplicates()
 
 
 def union(*graphs: DataFrame) -> DataFrame:
@@ -170,18 +208,19 @@ def union(*graphs: DataFrame) -> DataFrame:
 
 
 def to_turtle(triples: DataFrame) -> DataFrame:
-    """A line block per subject: predicates with `;`, objects with `,`."""
+    """A line block per subject: predicates with `;`, objects with `,`. Rows are dealt by subject once, all else goes on in place."""
     name = lambda c: F.when(F.startswith(c, F.lit("_:")), c).otherwise(F.concat(F.lit("<"), c, F.lit(">")))
     tail = F.when(F.col("o_lang").isNotNull(), F.concat(F.lit("@"), F.col("o_lang"))).when(F.col("o_dtype").isNotNull(), F.concat(F.lit("^^<"), F.col("o_dtype"), F.lit(">"))).otherwise("")
     o = F.when(F.col("o_kind") == LITERAL, F.concat(F.lit('"'), _escaped(F.col("o")), F.lit('"'), tail)).otherwise(name(F.col("o")))
-    rows = triples.select("s", F.when(F.col("p") == RDF + "type", "a").otherwise(name(F.col("p"))).alias("p"), o.alias("o")).distinct()
+    rows = triples.select("s", F.when(F.col("p") == RDF + "type", "a").otherwise(name(F.col("p"))).alias("p"), o.alias("o")).repartition("s").distinct()
     lists = rows.groupBy("s", "p").agg(F.array_join(F.array_sort(F.collect_list("o")), " ,\n        ").alias("os"))
     blocks = lists.groupBy("s").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "p", "os"))), " ;\n    ").alias("ps"))
     return blocks.select(F.concat(name(F.col("s")), F.lit(" "), F.col("ps"), F.lit(" .\n")).alias("value"))
 
 
-def write(triples: DataFrame, path: str) -> None:
-    to_turtle(triples).write.mode("overwrite").text(path)
+def write(triples: DataFrame, path: str, compression: str = "none") -> None:
+    """Files of so many subjects that each can be read in one piece."""
+    to_turtle(triples).write.mode("overwrite").option("maxRecordsPerFile", SUBJECTS).text(path, compression=compression)
 
 
 def to_rdfxml(triples: DataFrame) -> DataFrame:

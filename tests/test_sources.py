@@ -1,5 +1,6 @@
 import gzip
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
@@ -78,6 +79,22 @@ def test_all_files_of_a_folder(spark, tmp_path):
     assert len(back) == 40 and {r.o for r in back} == {"_:x"}
 
 
+def test_statements_are_read_one_at_a_time(spark, tmp_path, monkeypatch):
+    """No file is held as triples; plain statements and those of the grammar take turns; a triple of two files is one; files hold so many subjects."""
+    rows = turtle._Turtle('<http://a> <http://p> "x. ;,"@EN , "q\\"" ; a <http://c> . @prefix x: <http://x#> . x:s x:p 1 . <http://b> <http://p> <http://o>. <http://a> broken').statements()
+    assert [next(rows)[2] for _ in range(5)] == ["x. ;,", 'q"', "http://c", "1", "http://o"]
+    with pytest.raises(turtle.SparqlError):
+        next(rows)
+    monkeypatch.setattr(turtle, "SUBJECTS", 3)
+    df = spark.createDataFrame([(f"http://s{k}", "http://p", f"http://o{j}", "uri", None, None) for k in range(10) for j in range(2)], TRIPLES)
+    turtle.write(df.unionByName(df).repartition(2), str(tmp_path / "parts.ttl"), "gzip")
+    files = list((tmp_path / "parts.ttl").glob("part-*.gz"))
+    assert len(files) >= 4 and sorted(turtle.read(spark, str(tmp_path / "parts.ttl")).collect()) == sorted(df.collect())
+    for name in "ab":
+        (tmp_path / f"{name}.ttl").write_text("<http://a> <http://p> <http://o> .")
+    assert turtle.read(spark, str(tmp_path / "*.ttl")).where("s = 'http://a'").count() == 1
+
+
 def test_json_documents(spark, tmp_path):
     """Counts as one object, label to text to number; keys are quoted as JSON wants it."""
     rows = [("A", 'say "hi"', 3), ("A", "b", 1), ("B\\", "é", 2)]
