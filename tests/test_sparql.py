@@ -89,3 +89,21 @@ def test_constants_reach_the_scan(spark, graph, tmp_path):
     df = select(spark.read.parquet(str(tmp_path / "t")), P + "SELECT ?x { ?x :knows :b }")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(o,http://t/b)" in plan and "ReadSchema: struct<s:string,p:string,o:string,o_kind:string>" in plan
+
+
+def test_a_ring_is_closed_before_its_wide_join(spark):
+    """Two hubs of one part: the pairs that the nation rules out are never made; odd terms keep apart."""
+    from quillgraph.schemas import NAMESPACE as N
+
+    u = lambda s, p, o, kind="uri", lang=None, dtype=None: (s, N + p, o, kind, lang, dtype)
+    rows = [u(f"o{k}", "contains", "p") for k in range(40)] + [u(f"s{k}", "supplies", "p") for k in range(40)]
+    rows += [u(f"o{k}", "placedBy", f"c{k}") for k in range(40)] + [u(f"c{k}", "inNation", f"n{k}") for k in range(40)] + [u(f"s{k}", "inNation", f"n{k}") for k in range(20)]
+    rows += [u("s20", "inNation", "n20", "literal"), u("s21", "inNation", "n21", "literal", "en"), u("c22", "inNation", '"x', "literal", "de"), u("s22", "inNation", '"x', "literal", "DE"), u("c23", "inNation", "_:b", "bnode"), u("s23", "inNation", "_:b", "bnode"), u("c24", "inNation", "_:b"), u("s24", "inNation", "_:b")]
+    text = f"PREFIX : <{N}> SELECT ?o ?s ?n WHERE {{ ?o :contains ?p . ?s :supplies ?p . ?s :inNation ?n . ?o :placedBy ?c . ?c :inNation ?n }}"
+    df = select(spark.createDataFrame(rows, TRIPLES), text, terms=True)
+    got = {(r.o.v, r.s.v): tuple(r.n) for r in df.collect()}
+    want = {(f"o{k}", f"s{k}"): (f"n{k}", "uri", "", "") for k in range(20)}
+    assert got == want | {("o22", "s22"): ('"x', "literal", "de", ""), ("o23", "s23"): ("_:b", "bnode", "", ""), ("o24", "s24"): ("_:b", "uri", "", "")}
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    joins = [x for x in plan.splitlines() if "Join Inner" in x]
+    assert len(joins) == 4 and joins[0].count(" = ") == 2  # by part and nation at once
