@@ -332,6 +332,43 @@ def test_only_the_last_state_is_kept(spark):
     assert len(set(folder.glob("train-state-*")) - before) == 1
 
 
+def test_parameters_that_no_task_holds(spark, monkeypatch):
+    """More than the driver may hold are trained in parts: every link is dealt out once, every entity has a vector, the loss falls."""
+    monkeypatch.setattr(trainer, "WHOLE", 100, raising=False)
+    monkeypatch.setattr(trainer, "MOST_PARAMETERS", 200)
+    n = 103
+    rows = sorted({(k, 0, (k * 7 + 1) % n) for k in range(n)} | {(k, 1, k % 9) for k in range(20, n)} | {(5, 2, 5), (3, 2, 53)})
+    triples = spark.createDataFrame(rows, "s long, p long, o long")
+    config = trainer.Config("TransE", dim=4, epochs=2, batch=4, negatives=2, rate=0.1, loss="nssa", margin=3.0)
+    seen, heads = [], trainer._heads
+    monkeypatch.setattr(trainer, "_heads", lambda *a: seen.append(heads(*a)) or seen[-1])
+    blocks, losses, _ = trainer.fit(triples, config, n, 3, partitions=2)
+    vectors = {r.id: r.v for r in trainer.parameters(blocks, "e", config).collect()}
+    assert sorted(vectors) == list(range(n)) and trainer.parameters(blocks, "r", config).count() == 3
+    assert np.isfinite(list(vectors.values())).all() and len(losses) == 2 and losses[1] < losses[0]
+    assert np.allclose(seen[0][0], [r.head_probability for r in embeddings.bernoulli_stats(triples).orderBy("p").collect()]) and seen[0][1].sum() == len(rows)
+
+    plane, found = trainer.plane(config, n, 3), []
+    for r in trainer._dealt(plane, triples).collect():
+        ids = np.concatenate([np.arange(b, n, plane.buckets) for b in plane.line(*divmod(r.line, plane.q))])
+        x = np.frombuffer(r.data, np.int64)
+        found += zip(ids[x // plane.rows() % plane.rows()].tolist(), (x // plane.rows() ** 2).tolist(), ids[x % plane.rows()].tolist())
+    assert sorted(found) == rows
+
+    blocks, losses, _ = trainer.fit(triples.limit(0), config, n, 3)
+    start = trainer.start(config, n, 3)
+    for name in "er":
+        assert np.allclose([r.v for r in trainer.parameters(blocks, name, config).orderBy("id").collect()], start[name])
+    assert not losses
+
+
+def test_moments_are_stored_in_16_bits():
+    rows = np.random.default_rng(1).normal(size=(7, 13)).astype(np.float32)
+    got = np.empty_like(rows)
+    trainer._restored(trainer._stored(rows, 4, True), 4, got)
+    assert (got[:, :4] == rows[:, :4]).all() and (got[:, 12] == rows[:, 12]).all() and np.allclose(got, rows, rtol=2**-8)
+
+
 def test_training_without_triples_gives_the_start(spark):
     config = trainer.Config("TransE", dim=2, epochs=2)
     params, losses, _ = trainer.train(spark.createDataFrame([], "s long, p long, o long"), config, 3, 1)

@@ -20,6 +20,15 @@ def test_every_node_gets_a_vector(spark):
     assert all(len(r.v) == 16 for r in got)
 
 
+def test_links_are_encoded_by_their_keys(spark):
+    from quillgraph.operators import training_set as ts
+
+    x, e, r = bridge.coded_edges(spark, FOLDER)
+    links = bridge.edges(spark, FOLDER)
+    assert sorted(e.collect()) == sorted(ts.entity_ids(links).collect()) and sorted(r.collect()) == sorted(ts.relation_ids(links).collect())
+    assert sorted(x.collect()) == sorted(ts.encode(links, e, r).collect())
+
+
 def test_a_part_on_a_later_line_is_contained(spark, tmp_path):
     from pyspark.sql import functions as F
 
